@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
                  .select("file", (F.col("row") - F.col("first") + F.col("offset")).alias("line"), "value"))
 
 
-def _cells(value: Column, sep: str, width: int) -> Column:
-    """Cells of a delimited line, quotes resolved; blank cells are NULL."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv(value, schema, {"sep": sep, "mode": "PERMISSIVE"})
-    return F.array(*[F.nullif(stripped(parsed[f"c{i}"]), F.lit("")) for i in range(width)])
+def _cells(value: Column, sep: str) -> Column:
+    """Cells of a delimited line, whatever their number; blank cells are NULL.
+
+    A separator counts only where an even number of quotes follows it.
+    """
+    outside_quotes = re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+    def clean(cell: Column) -> Column:
+        bare = F.regexp_replace(stripped(cell), r'^"(.*)"$', "$1")
+        return F.nullif(stripped(F.replace(bare, F.lit('""'), F.lit('"'))), F.lit(""))
+
+    return F.transform(F.split(value, outside_quotes, -1), clean)
 
 
 def _marked(cells: Column, *words: str) -> Column:
@@ -50,7 +59,7 @@ def _marked(cells: Column, *words: str) -> Column:
 
 def load_catalog(spark: SparkSession, path: str, header_row: int | None = None,
                  scan_rows: int = 50, fallback: tuple[int, int] = (0, 6),
-                 sep: str = ";", width: int = 64) -> DataFrame:
+                 sep: str = ";") -> DataFrame:
     """Catalog rows of every file under ``path`` as ``Concatenar``, ``% Descuento``.
 
     The header of a file is its first line, within ``scan_rows``, having a cell
@@ -58,7 +67,7 @@ def load_catalog(spark: SparkSession, path: str, header_row: int | None = None,
     ``fallback`` positions.  ``header_row`` (from 0) is used for files without
     such a line; files left without a header contribute no rows.
     """
-    lines = numbered_lines(spark, path).withColumn("cells", _cells(F.col("value"), sep, width)).drop("value")
+    lines = numbered_lines(spark, path).withColumn("cells", _cells(F.col("value"), sep)).drop("value")
     is_header = ((F.size(_marked(F.col("cells"), KEY_WORD)) > 0)
                  & (F.size(_marked(F.col("cells"), PERCENT_WORD)) > 0))
     eligible = is_header & (F.col("line") < scan_rows)

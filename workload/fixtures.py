@@ -29,9 +29,9 @@ VIEWS = {
         select n_nationkey as store_id, n_name as nombre_tienda from {nation}""",
     "fact_stock": """
         select l_partkey as item_id, s_nationkey as store_id,
-               case when p_brand = 'Brand#7' then 0.0D else l_quantity - 5 end as existencia,
+               case when p_brand = 'Brand#7' then cast(0 as double) else l_quantity - 5 end as existencia,
                l_extendedprice as precio_detal,
-               case when l_discount = 0.01 then 0.0D
+               case when l_discount = 0.01 then cast(0 as double)
                     when l_discount < 0.05 then l_extendedprice
                     else l_extendedprice * (1 - l_discount) end as precio_promocion,
                case when l_discount >= 0.05 then 1 else 0 end as promocion,
