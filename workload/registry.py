@@ -123,9 +123,8 @@ def s5_export_view(spark, sf):
 
 @query
 def s6_export_columns(spark, sf):
-    data, branch = sl.split_columns(v1(spark, sf).columns)
     return sl.export_columns(v1(spark, sf), ["CodigoMarca", "Concatenar", HOUSE_TOTAL],
-                             [branch[0], branch[-1], BRANCH_TOTAL])
+                             [STORE_LABELS[0], STORE_LABELS[-1], BRANCH_TOTAL])
 
 
 @query
