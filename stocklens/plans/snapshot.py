@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.items import discount_label, item_key, region_bucket
 from ..names import ITEM_KEY, SNAPSHOT_COLUMNS
 from ..operators.aggregates import (
-    canonical_items, canonical_stock, label_stock, scope_sums,
+    described_stock, label_stock, scope_sums,
 )
 from ..operators.filters import DAY_FIRST, nonnegative_stock, valid_headers, valid_lines
 from ..operators.groups import order_by_reference
@@ -58,16 +58,18 @@ def last_movement_dates(tables: Tables, statuses=("2",), excluded_qty=(1, -1)) -
 
 
 def stock_snapshot(tables: Tables, rules: StockRules, *, key: str = "concatenar",
-                   statuses=("2",), excluded_qty=(1, -1), ordered: bool = True) -> DataFrame:
+                   statuses=("2",), excluded_qty=(1, -1), ordered: bool = True,
+                   unique_items: bool | None = None) -> DataFrame:
     """The 21-column snapshot.
 
-    Facts are summed on keys alone: per item and store before any join, then per
-    canonical item.  Totals and movement dates are worked out per (reference,
+    Facts are summed on keys alone, before any join (and once more where items
+    share a description; ``unique_items`` states or finds out).  Totals and movement dates are worked out per (reference,
     brand) and attached to the item descriptions, so the wide text columns meet
     the stock in one last join and are never shuffled with it unless sorted.
     """
     items = item_dimension(tables)
-    ids, described = canonical_items(items)
+    stock, described = described_stock(
+        nonnegative_stock(tables["fact_stock"]), items, unique_items)
     moved = last_movement_dates(tables, statuses, excluded_qty).select(
         F.col("referencia").alias("_mov_ref"), F.col("codigo_marca").alias("_mov_brand"),
         F.date_format("fecha", DAY_FIRST).alias("Fecha"))
@@ -78,7 +80,6 @@ def stock_snapshot(tables: Tables, rules: StockRules, *, key: str = "concatenar"
         same = (item_key(F.col("referencia"), F.col("codigo_marca"))
                 == item_key(F.col("_mov_ref"), F.col("_mov_brand")))
     wanted = pair_totals(tables, items, rules).join(moved, same).drop("_mov_ref", "_mov_brand")
-    stock = canonical_stock(nonnegative_stock(tables["fact_stock"]), ids, tables["dim_store"])
     rows = label_stock(stock.join(described.join(wanted, _PAIR), "canon_id")
                             .join(tables["dim_store"], "store_id"), rules)
     named = {

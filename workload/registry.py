@@ -41,7 +41,8 @@ def query(fn: Query) -> Query:
 # --- shared inputs ------------------------------------------------------------
 
 def snapshot(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    return sl.stock_snapshot(fixture_tables(spark, sf), RULES, statuses=STATUSES, **kw)
+    # Bar codes are unique in the fixture, so no two items share a description.
+    return sl.stock_snapshot(fixture_tables(spark, sf), RULES, statuses=STATUSES, unique_items=True, **kw)
 
 
 def rows(spark: SparkSession, sf: str) -> DataFrame:
