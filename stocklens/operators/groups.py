@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import quoted
 from ..names import DISCOUNT, DUPLICATE_FLAG, ITEM_KEY, REGION, STOCK
 from .aggregates import scope_sums
 from .filters import DAY_FIRST
-from .joins import attach_group_values
+from .joins import attach_group_values, join_groups
 
 PAIR = ("Referencia", "CodigoMarca")
 
@@ -36,13 +35,10 @@ def duplicate_flag(df: DataFrame, enabled: bool = True) -> DataFrame:
     """True on every row whose (item, discount) occurs more than once; NULLs are equal."""
     if not enabled or ITEM_KEY not in df.columns or DISCOUNT not in df.columns:
         return df.withColumn(DUPLICATE_FLAG, F.lit(False))
-    repeated = (df.groupBy(quoted(ITEM_KEY).alias("_dup_key"), quoted(DISCOUNT).alias("_dup_value"))
-                  .agg(F.count(F.lit(1)).alias("_dup_n")).filter("_dup_n > 1"))
-    same = (quoted(ITEM_KEY).eqNullSafe(F.col("_dup_key"))
-            & quoted(DISCOUNT).eqNullSafe(F.col("_dup_value")))
-    return (df.join(repeated, same, "left")
-              .withColumn(DUPLICATE_FLAG, F.col("_dup_n").isNotNull())
-              .drop("_dup_key", "_dup_value", "_dup_n"))
+    key = [ITEM_KEY, DISCOUNT]
+    repeated = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    return (join_groups(df, repeated, key, "left")
+            .withColumn(DUPLICATE_FLAG, F.col("_n").isNotNull()).drop("_n"))
 
 
 def order_by_reference(df: DataFrame) -> DataFrame:

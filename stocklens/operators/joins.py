@@ -23,21 +23,27 @@ from .filters import nonnegative_stock, valid_headers, valid_lines
 Tables = dict[str, DataFrame]
 
 
-def attach_group_values(df: DataFrame, keys: Sequence[str], *values: Column,
-                        having: Column | None = None, nulls_match: bool = True) -> DataFrame:
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join rows with one row per group, NULL keys matching NULL.
+
+    The null-safe comparison also gives the join a shuffle of its own on both
+    sides.  Were the groups' aggregate shuffle reused, adaptive execution could
+    not split the rows of a hot group.
+    """
+    twin = {k: f"_group_{i}" for i, k in enumerate(keys)}
+    same = [quoted(k).eqNullSafe(F.col(t)) for k, t in twin.items()]
+    return df.join(groups.withColumnsRenamed(twin), reduce(Column.__and__, same), how).drop(*twin.values())
+
+
+def attach_group_values(df: DataFrame, keys: Sequence[str], *values: Column) -> DataFrame:
     """Put per-group aggregates on every row of the group.
 
     The groups are aggregated first (combined on the map side, so a hot group
-    shrinks before it is shuffled) and joined back, which lets adaptive execution
-    split a hot group; a window would hold the whole group in one task.
+    shrinks before it is shuffled) and joined back; a window would hold the
+    whole group in one task.
     """
-    aliases = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    groups = df.groupBy(*[quoted(k).alias(a) for k, a in aliases.items()]).agg(*values)
-    if having is not None:
-        groups = groups.filter(having)
-    same = [quoted(k).eqNullSafe(F.col(a)) if nulls_match else quoted(k) == F.col(a)
-            for k, a in aliases.items()]
-    return df.join(groups, reduce(Column.__and__, same), "inner").drop(*aliases.values())
+    groups = df.groupBy(*[quoted(k) for k in keys]).agg(*values)
+    return join_groups(df, groups, keys, "inner")
 
 
 def item_dimension(tables: Tables) -> DataFrame:
@@ -134,7 +140,7 @@ def with_last_movement(df: DataFrame, last: DataFrame, key: str = "concatenar")
 
 def attributes_with_totals(attributes: DataFrame, totals: DataFrame) -> DataFrame:
     """Attribute rows with the totals of their item; all rows of an item repeat them."""
-    return attributes.join(totals, ITEM_KEY, "left")
+    return join_groups(attributes, totals, [ITEM_KEY], "left")
 
 
 def with_catalog(df: DataFrame, catalog: DataFrame | None) -> DataFrame:
