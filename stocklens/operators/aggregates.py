@@ -115,13 +115,12 @@ def item_attributes(df: DataFrame, one_per_item: bool = True,
                     attributes=FIXED_ATTRIBUTES) -> DataFrame:
     """Attribute rows of the items: all distinct ones, or the smallest per item.
 
-    "Smallest" compares the attributes in order with NULL first.  Duplicates are
-    removed first, which hashes; the ordered minimum then sees few rows per item.
+    "Smallest" compares the attributes in order with NULL first.
     """
     require(df, attributes)
-    rows = df.filter(F.col(ITEM_KEY).isNotNull()).select(*attributes).distinct()
+    rows = df.filter(F.col(ITEM_KEY).isNotNull()).select(*attributes)
     if not one_per_item:
-        return rows
+        return rows.distinct()
     rest = [a for a in attributes if a != ITEM_KEY]
     return (rows.groupBy(ITEM_KEY).agg(F.min(F.struct(*rest)).alias("_first"))
                 .select(*[F.col(a) if a == ITEM_KEY else F.col("_first")[a].alias(a)

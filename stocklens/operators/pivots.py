@@ -1,8 +1,9 @@
 """Pivots of stores or regions into columns.
 
-Each view joins attribute rows with one wide row of sums per item.  The column
-list is part of the schema: pass it, or resolve it from the store dimension, to
-avoid a pass over the data.
+Each view joins attribute rows with one wide row of sums per item.  The two
+sides read different columns, and both shrink to item level before they are
+shuffled.  The column list is part of the schema: pass it, or resolve it from the
+store dimension, to avoid a pass over the data.
 """
 
 from __future__ import annotations
@@ -59,27 +60,36 @@ def _house_then_branch(labels) -> list[str]:
     return house + sorted(x for x in labels if BRANCH_WORD in x and x not in house)
 
 
+def _sums(label: Column, labels: Sequence[str], totals: Mapping[str, Column]) -> list[Column]:
+    cases = [F.sum(F.when(label == v, F.col(STOCK))).alias(v) for v in labels]
+    return cases + [F.sum(F.when(cond, F.col(STOCK))).alias(n) for n, cond in totals.items()]
+
+
+def _zero_filled(names: Sequence[str]) -> list[Column]:
+    return [F.coalesce(quoted(n), F.lit(0)).alias(n) for n in names]
+
+
+def _no_clash(labels: Sequence[str], totals: Mapping[str, Column]) -> None:
+    clash = {*FIXED_ATTRIBUTES, *totals} & set(labels)
+    if clash:
+        raise ValueError(f"pivot columns clash with other columns: {sorted(clash)}")
+
+
 def item_sums(df: DataFrame, label: Column, labels: Sequence[str],
               totals: Mapping[str, Column]) -> DataFrame:
     """One row per item: a stock sum per label (0 where absent) and named totals.
 
     ``totals`` maps a name to the condition of the rows it sums.
     """
-    clash = {ITEM_KEY, *totals} & set(labels)
-    if clash:
-        raise ValueError(f"pivot columns clash with other columns: {sorted(clash)}")
-    rows = (df.select(ITEM_KEY, STOCK, label.alias("_label"),
-                      *[cond.alias(f"_in_{n}") for n, cond in totals.items()])
-              .filter(F.col(ITEM_KEY).isNotNull() & F.col("_label").isNotNull()))
-    sums = [F.sum(F.when(F.col(f"_in_{n}"), F.col(STOCK))).alias(n) for n in totals]
+    _no_clash(labels, totals)
+    rows = df.filter(F.col(ITEM_KEY).isNotNull() & label.isNotNull())
     if len(labels) <= MAX_CASE_COLUMNS:
-        cases = [F.sum(F.when(F.col("_label") == v, F.col(STOCK))).alias(v) for v in labels]
-        wide = rows.groupBy(ITEM_KEY).agg(*cases, *sums)
+        wide = rows.groupBy(ITEM_KEY).agg(*_sums(label, labels, totals))
     else:
-        cells = rows.groupBy(ITEM_KEY).pivot("_label", list(labels)).agg(F.sum(STOCK))
-        wide = cells.join(rows.groupBy(ITEM_KEY).agg(*sums), ITEM_KEY)
-    return wide.select(ITEM_KEY, *[F.coalesce(quoted(c), F.lit(0)).alias(c)
-                                   for c in (*labels, *totals)])
+        long = rows.select(ITEM_KEY, STOCK, label.alias("_label"))
+        cells = long.groupBy(ITEM_KEY).pivot("_label", list(labels)).agg(F.sum(STOCK))
+        wide = cells.join(rows.groupBy(ITEM_KEY).agg(*_sums(label, [], totals)), ITEM_KEY)
+    return wide.select(ITEM_KEY, *_zero_filled((*labels, *totals)))
 
 
 def _needed(df: DataFrame, *extra: str) -> None:
