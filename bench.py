@@ -20,7 +20,7 @@ import stocklens as sl  # noqa: E402
 from stocklens.names import VIEW_ALL, VIEW_BRANCHES  # noqa: E402
 from stocklens.session import scratch_path  # noqa: E402
 from workload import registry as reg  # noqa: E402
-from workload.fixtures import BRANCH_STORES, HOUSE_REGIONS, STATUSES, STORE_LABELS, fixture_tables  # noqa: E402
+from workload.fixtures import BRANCH_STORES, HOUSE_REGIONS, RULES, STATUSES, STORE_LABELS, fixture_tables  # noqa: E402
 
 RUNS = 3
 
@@ -49,7 +49,8 @@ def main() -> None:
     catalog = reg.catalog(spark, sf_dir)
     moved = sl.movements(tables, STATUSES, lookups=False).select(*reg.MOVEMENT_COLUMNS)
     work = {
-        "q1_stock_snapshot": lambda: reg.snapshot(spark, sf_dir),
+        "q1_stock_snapshot": lambda: sl.stock_snapshot(
+            tables, RULES, statuses=STATUSES, unique_items=True),
         "n2_last_movement": lambda: sl.last_movement(moved),
         "v1_pivot_all_stores": lambda: sl.pivot_all_stores(snap, STORE_LABELS),
         "v2_pivot_branches": lambda: sl.pivot_branches(snap, BRANCH_STORES),

@@ -46,7 +46,8 @@ def skew_settings(spark):
         spark, spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
         spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
-        spark__sql__adaptive__coalescePartitions__enabled="false")
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__adaptive__forceOptimizeSkewedJoin="false")
 
 
 @pytest.fixture(scope="module")
