@@ -10,7 +10,7 @@ from .operators.aggregates import (
 )
 from .operators.groups import duplicate_flag, last_movement, order_by_reference, with_scope_totals
 from .operators.joins import (
-    attributes_with_totals, brand_lookup, item_dimension, movements, positive_items, positive_keys,
+    attributes_with_totals, brand_lookup, item_dimension, label_by_table, movements, positive_items, positive_keys,
     prefix_lookup, star_join, with_catalog, with_last_movement,
 )
 from .operators.pivots import (

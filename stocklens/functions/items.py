@@ -38,19 +38,6 @@ def owner(subline: Column, rules: StockRules) -> Column:
     return label_by_list(subline, rules.owners, rules.no_owner)
 
 
-def label_by_table(df: DataFrame, key: str, rules: DataFrame, out: str, default: str) -> DataFrame:
-    """As :func:`label_by_list` for rule sets too long for literals.
-
-    ``rules`` has columns ``priority, value, label``.  The join carries no hint:
-    Spark broadcasts the rules when their measured size allows it.
-    """
-    first = rules.groupBy(F.col("value").alias("_rule_value")).agg(
-        F.min_by("label", "priority").alias("_rule_label"))
-    return (df.join(first, quoted(key) == F.col("_rule_value"), "left")
-              .withColumn(out, F.coalesce("_rule_label", F.lit(default)))
-              .drop("_rule_value", "_rule_label"))
-
-
 def discount_label(price: Column, promo: Column) -> Column:
     """Promotion discount as whole percent text; a NULL price gives a bare ``%``."""
     ratio = promo / F.nullif(price, F.lit(0))

@@ -46,6 +46,18 @@ def attach_group_values(df: DataFrame, keys: Sequence[str], *values: Column) ->
     return join_groups(df, groups, keys, "inner")
 
 
+def label_by_table(df: DataFrame, key: str, rules: DataFrame, out: str, default: str) -> DataFrame:
+    """Label a code from rules too long for literals: the first rule wins.
+
+    ``rules`` has columns ``priority, value, label``; codes without a rule, and
+    NULL, get ``default``.
+    """
+    first = (rules.filter(F.col("value").isNotNull()).groupBy(F.col("value").alias(key))
+                  .agg(F.min_by("label", "priority").alias("_rule_label")))
+    return (join_groups(df, first, [key], "left")
+            .withColumn(out, F.coalesce("_rule_label", F.lit(default))).drop("_rule_label"))
+
+
 def item_dimension(tables: Tables) -> DataFrame:
     """Items with their category; items without a category drop out."""
     return tables["dim_item"].join(tables["dim_category"], "category_id")
@@ -61,8 +73,7 @@ def star_join(tables: Tables, fact: DataFrame | None = None,
 
 def positive_items(df: DataFrame, stock: str = STOCK) -> DataFrame:
     """Rows of items having stock somewhere; rows with a NULL code drop out."""
-    keys = positive_keys(df, stock)
-    return df.join(keys, ["Referencia", "CodigoMarca"], "left_semi")
+    return join_groups(df, positive_keys(df, stock).dropna(), ["Referencia", "CodigoMarca"], "left_semi")
 
 
 def positive_keys(df: DataFrame, stock: str = STOCK) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 from ..names import WAREHOUSE_LAYOUT
 
@@ -28,7 +29,7 @@ def load_table(spark: SparkSession, name: str, base: str | None = None, fmt: str
     elif fmt == "jdbc":
         df = jdbc_reader(spark, base, name, **options).load()
     else:
-        df = spark.read.format(fmt).options(**options).load(_file_path(spark, base, name, fmt))
+        df = _load_files(spark.read.format(fmt).options(**options), base, name, fmt)
     return strip_columns(df)
 
 
@@ -41,13 +42,15 @@ def jdbc_reader(spark: SparkSession, url: str, name: str, **options):
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options)
 
 
-def _file_path(spark: SparkSession, base: str, name: str, fmt: str) -> str:
+def _load_files(reader: DataFrameReader, base: str, name: str, fmt: str) -> DataFrame:
     """``base/name.<fmt>`` when it exists, else ``base/name``."""
-    single = f"{base.rstrip('/')}/{name}.{fmt}"
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(single)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return single if exists else f"{base.rstrip('/')}/{name}"
+    path = f"{base.rstrip('/')}/{name}"
+    try:
+        return reader.load(f"{path}.{fmt}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return reader.load(path)
 
 
 def load_sources(spark: SparkSession, base: str | None = None, fmt: str = "parquet",

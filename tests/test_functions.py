@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from stocklens import DEFAULT_RULES
 from stocklens.functions import columns as cols
 from stocklens.functions.items import (
-    discount_label, item_key, label_by_table, normalise_promo, owner, pct_text, percent_sign, region_bucket,
+    discount_label, item_key, normalise_promo, owner, pct_text, percent_sign, region_bucket,
     rounded_half_even, rounded_scaled, share, store_label,
 )
+from stocklens.operators.joins import label_by_table
 from stocklens.functions.text import normalise_name, number_from_text, stripped
 
 
@@ -42,13 +43,13 @@ def test_region_and_owner_presets(spark):
 
 def test_label_table_equals_label_list(spark):
     ids = [i for r in DEFAULT_RULES.regions for i in r.values] + [5, 2003]
-    df = spark.createDataFrame([(i,) for i in ids], "s int")
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "s int")
     rules = spark.createDataFrame(
         [(n, v, r.label) for n, r in enumerate(DEFAULT_RULES.regions) for v in r.values]
         + [(99, 2003, "later rule")], "priority int, value int, label string")
     got = label_by_table(df, "s", rules, "Region", "Sin region").withColumn(
         "want", region_bucket(F.col("s"), DEFAULT_RULES)).collect()
-    assert len(got) == len(ids) and all(r["Region"] == r["want"] for r in got)
+    assert len(got) == len(ids) + 1 and all(r["Region"] == r["want"] for r in got)
 
 
 def test_store_label_needs_both_parts(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import stocklens as sl
 from data import SNAPSHOT_DDL
+from stocklens.operators.joins import label_by_table
 from workload import registry as reg
 from workload.fixtures import BRANCH_STORES, HOUSE_REGIONS, RULES, STATUSES, STORE_LABELS, fixture_tables
 
@@ -85,6 +86,20 @@ def test_hot_item_is_split_for_scope_totals(spark, hot_rows):
     assert {(r["Existencia_Total_CasaMatriz"], r["Existencia_Total_Sucursales"]) for r in hot} == {(5000.0, 5000.0)}
 
 
+def test_hot_item_is_split_for_the_stock_test(spark, hot_rows):
+    with skew_settings(spark):
+        rows, final = run_final(sl.positive_items(hot_rows))
+    assert "skew=true" in final and len(rows) == 30000
+
+
+def test_hot_code_is_split_for_long_rule_lists(spark, hot_rows):
+    rules = hot_rows.select(F.lit(1).alias("priority"), F.col("Referencia").alias("value"),
+                            F.concat(F.lit("x "), "Referencia").alias("label"))
+    with skew_settings(spark):
+        rows, final = run_final(label_by_table(hot_rows, "Referencia", rules, "out", "none"))
+    assert "skew=true" in final and all(r["out"] == f"x {r['Referencia']}" for r in rows) and len(rows) == 30000
+
+
 def test_hot_duplicates_are_split(spark, hot_rows):
     with skew_settings(spark):
         rows, final = run_final(sl.duplicate_flag(hot_rows))
