@@ -12,9 +12,19 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def backticked(name: str) -> str:
+    """Column name for SQL text and ``select``, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """Text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def quoted(name: str) -> Column:
     """Reference a column literally, whatever characters its name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(backticked(name))
 
 
 def stripped(col: Column) -> Column:

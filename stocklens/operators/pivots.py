@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import require
 from ..functions.items import percent_sign, rounded_scaled, share, store_label
-from ..functions.text import quoted
+from ..functions.text import backticked, quoted, text_literal
 from ..names import (
     BRANCH_SHARE, BRANCH_TOTAL, BRANCH_WORD, FIXED_ATTRIBUTES, HOUSE_SHARE, HOUSE_TOTAL,
     HOUSE_WORD, ITEM_KEY, REGION, STOCK, STORE, VIEW_ALL, VIEW_BRANCHES, VIEW_HOUSE,
@@ -60,36 +60,28 @@ def _house_then_branch(labels) -> list[str]:
     return house + sorted(x for x in labels if BRANCH_WORD in x and x not in house)
 
 
-def _sums(label: Column, labels: Sequence[str], totals: Mapping[str, Column]) -> list[Column]:
-    cases = [F.sum(F.when(label == v, F.col(STOCK))).alias(v) for v in labels]
-    return cases + [F.sum(F.when(cond, F.col(STOCK))).alias(n) for n, cond in totals.items()]
-
-
-def _zero_filled(names: Sequence[str]) -> list[Column]:
-    return [F.coalesce(quoted(n), F.lit(0)).alias(n) for n in names]
-
-
-def _no_clash(labels: Sequence[str], totals: Mapping[str, Column]) -> None:
-    clash = {*FIXED_ATTRIBUTES, *totals} & set(labels)
-    if clash:
-        raise ValueError(f"pivot columns clash with other columns: {sorted(clash)}")
-
-
 def item_sums(df: DataFrame, label: Column, labels: Sequence[str],
               totals: Mapping[str, Column]) -> DataFrame:
     """One row per item: a stock sum per label (0 where absent) and named totals.
 
-    ``totals`` maps a name to the condition of the rows it sums.
+    ``totals`` maps a name to the condition, over ``_label``, of the rows it sums.
     """
-    _no_clash(labels, totals)
-    rows = df.filter(F.col(ITEM_KEY).isNotNull() & label.isNotNull())
+    clash = {ITEM_KEY, *totals} & set(labels)
+    if clash:
+        raise ValueError(f"pivot columns clash with other columns: {sorted(clash)}")
+    rows = (df.filter(F.col(ITEM_KEY).isNotNull())
+              .select(ITEM_KEY, STOCK, label.alias("_label"))
+              .filter("_label is not null"))
+    sums = [F.sum(F.when(cond, F.col(STOCK))).alias(n) for n, cond in totals.items()]
     if len(labels) <= MAX_CASE_COLUMNS:
-        wide = rows.groupBy(ITEM_KEY).agg(*_sums(label, labels, totals))
+        # SQL text: one call per column when the plan is built
+        cases = [F.expr(f"sum(case when _label = {text_literal(v)} then {STOCK} end) as {backticked(v)}")
+                 for v in labels]
+        wide = rows.groupBy(ITEM_KEY).agg(*cases, *sums)
     else:
-        long = rows.select(ITEM_KEY, STOCK, label.alias("_label"))
-        cells = long.groupBy(ITEM_KEY).pivot("_label", list(labels)).agg(F.sum(STOCK))
-        wide = cells.join(rows.groupBy(ITEM_KEY).agg(*_sums(label, [], totals)), ITEM_KEY)
-    return wide.select(ITEM_KEY, *_zero_filled((*labels, *totals)))
+        cells = rows.groupBy(ITEM_KEY).pivot("_label", list(labels)).agg(F.sum(STOCK))
+        wide = cells.join(rows.groupBy(ITEM_KEY).agg(*sums), ITEM_KEY)
+    return wide.na.fill(0)
 
 
 def _needed(df: DataFrame, *extra: str) -> None:
@@ -103,11 +95,12 @@ def pivot_all_stores(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     label = store_label(F.col(REGION), F.col(STORE))
     columns = _house_then_branch(distinct_labels(df, label) if columns is None else columns)
     sums = item_sums(df, label, columns, {
-        BRANCH_TOTAL: label.contains(BRANCH_WORD), HOUSE_TOTAL: label.contains(HOUSE_WORD)})
+        BRANCH_TOTAL: F.col("_label").contains(BRANCH_WORD),
+        HOUSE_TOTAL: F.col("_label").contains(HOUSE_WORD)})
     sums = drop_empty_rows(sums, HOUSE_TOTAL, BRANCH_TOTAL)
     house, branch = F.col(HOUSE_TOTAL), F.col(BRANCH_TOTAL)
     return (item_attributes(df, one_per_item=True).join(sums, ITEM_KEY)
-            .select(*FIXED_ATTRIBUTES, *[quoted(c) for c in columns], BRANCH_TOTAL, HOUSE_TOTAL,
+            .select(*FIXED_ATTRIBUTES, *[backticked(c) for c in columns], BRANCH_TOTAL, HOUSE_TOTAL,
                     percent_sign(share(house, house + branch)).alias(HOUSE_SHARE),
                     percent_sign(share(branch, house + branch)).alias(BRANCH_SHARE)))
 
@@ -118,7 +111,7 @@ def _scoped_pivot(df: DataFrame, view: str, label: str, total: str,
     columns = distinct_labels(rows, quoted(label)) if columns is None else sorted(columns)
     sums = item_sums(rows, quoted(label), columns, {total: F.lit(True)})
     joined = attributes_with_totals(item_attributes(rows, one_per_item), sums)
-    return joined.select(*FIXED_ATTRIBUTES, *[quoted(c) for c in columns], total)
+    return joined.select(*FIXED_ATTRIBUTES, *[backticked(c) for c in columns], total)
 
 
 def pivot_branches(df: DataFrame, columns: Sequence[str] | None = None,

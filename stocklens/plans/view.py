@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 
 from ..functions.items import normalise_promo
+from ..functions.text import backticked
 from ..names import CATALOG_DISCOUNT, DISCOUNT, VIEW_ALL, VIEW_HOUSE
 from ..operators import filters as f
 from ..operators.groups import duplicate_flag
@@ -80,7 +81,7 @@ def view_order(names: Sequence[str]) -> list[str]:
     if CATALOG_DISCOUNT in names:
         at = rest.index(DISCOUNT) + 1 if DISCOUNT in rest else len(rest)
         rest.insert(at, CATALOG_DISCOUNT)
-    return ["`" + n.replace("`", "``") + "`" for n in rest]
+    return [backticked(n) for n in rest]
 
 
 def stock_view(snapshot: DataFrame, view: str = VIEW_ALL, catalog: DataFrame | None = None,

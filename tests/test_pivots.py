@@ -116,6 +116,25 @@ def test_columns_absent_from_the_data_are_zero(spark):
     assert (row["T.1"], row["T2"], row["Sucursal_Total"]) == (2.0, 0.0, 2.0)
 
 
+def test_awkward_store_names(spark):
+    names = ["it's", "back\\slash", "tick`", 'quo"te', "a.b c"]
+    df = snapshot_frame(spark, [snapshot_row(store=n, stock=float(i + 1)) for i, n in enumerate(names)])
+    row = sl.pivot_branches(df, names).collect()[0]
+    assert [row[n] for n in names] == [1.0, 2.0, 3.0, 4.0, 5.0]
+    assert [sl.pivot_all_stores(df).collect()[0][f"A - Sucursales - {n}"] for n in names] == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_decimal_stock(spark):
+    df = snapshot_frame(spark, [snapshot_row("r", stock=1.5), snapshot_row("s", region="A - Casa Matriz", stock=2.25)])
+    df = df.withColumn("Existencia_Total", F.col("Existencia_Total").cast("decimal(18,3)"))
+    out = sl.pivot_all_stores(df)
+    assert out.schema["Sucursal_Total"].dataType.simpleString().startswith("decimal")
+    rows = {r["Referencia"]: r for r in out.collect()}
+    assert float(rows["r"]["Sucursal_Total"]) == 1.5 and float(rows["r"]["A - Casa Matriz - T1"]) == 0
+    assert rows["s"]["Porcentaje_Existencia_CasaMatriz"] == "100.0%"
+    assert sl.pivot_main_house_share(df).collect()[0]["Porcentaje_Existencia_CasaMatriz"] == "100.0%"
+
+
 def test_column_errors(spark):
     df = snapshot_frame(spark, [snapshot_row()])
     with pytest.raises(ValueError, match="Region"):
