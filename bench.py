@@ -58,7 +58,7 @@ def main() -> None:
         "v4_pivot_main_house_share": lambda: sl.pivot_main_house_share(snap, columns=HOUSE_REGIONS),
         "q2_stock_view": lambda: sl.stock_view(
             snap, VIEW_BRANCHES, catalog, BRANCH_STORES, exclude_brands=reg.EXCLUDED_BRANDS,
-            exclude_sublines=reg.EXCLUDED_SUBLINES, exclude_year=2001, promo_only=True, flag_duplicates=True),
+            exclude_sublines=reg.EXCLUDED_SUBLINES, exclude_year=2000, promo_only=True, flag_duplicates=True),
         "q2_stock_view_all_stores": lambda: sl.stock_view(
             snap, VIEW_ALL, catalog, STORE_LABELS, exclude_brands=reg.EXCLUDED_BRANDS,
             stock_range=(1, 100000), flag_duplicates=True),

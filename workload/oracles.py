@@ -32,9 +32,9 @@ def _owner(col: str) -> str:
 
 
 def _discount(price: str, promo: str) -> str:
-    return (f"case when {promo} = 0 then '0%' when {price} = 0 then '0%' when {promo} = {price} then '0%' "
-            f"else coalesce(cast(cast(round((1.0 - {promo} / nullif({price}, 0)) * 100, 0) as int) as varchar), '') "
-            f"|| '%' end")
+    percent = f"cast(round((1 - {promo} / nullif({price}, 0)) * 100, 0) as int)"
+    return (f"case when {promo} = 0 or {price} = 0 or {promo} = {price} then '0%' "
+            f"else coalesce(cast({percent} as varchar), '') || '%' end")
 
 
 def _share(part: str, total: str) -> str:
@@ -135,20 +135,20 @@ CTES.update({
              existencia as Existencia_Total, promocion as Promocion, status as Status
       from por_tienda""",
     "movimientos": """
-      select coalesce(i.referencia, '') || coalesce(i.codigo_marca, '') as Concatenar,
-             i.codigo_barra as CodigoBarra, i.referencia as Referencia, i.codigo_marca as CodigoMarca,
-             i.nombre as Nombre, f.nombre as Fabricante, left(c.codigo, 4) as CategoriaCodigo,
-             c.nombre as CategoriaNombre, m.nombre as Marca, cc.nombre as Linea,
-             mt.cantidad as Cantidad, mt.numero as NumeroTransferencia, t.fecha as Fecha
-      from movement_line mt
-      right join op_item i on i.codigo_barra = mt.codigo_barra
-      right join op_category c on i.codigo_categoria = c.codigo
-      left join brand_lookup m on i.codigo_marca = m.codigo
-      left join line_lookup cc on left(c.codigo, 4) = cc.codigo
-      join movement_header t on t.numero = mt.numero
-      join destination s on s.codigo = t.codigo_recibe
-      join maker f on f.codigo = i.codigo_fabricante
-      where t.status = 'F' and mt.cantidad not in (1, -1)""",
+      select coalesce(item.referencia, '') || coalesce(item.codigo_marca, '') as Concatenar,
+             item.codigo_barra as CodigoBarra, item.referencia as Referencia, item.codigo_marca as CodigoMarca,
+             item.nombre as Nombre, maker.nombre as Fabricante, left(category.codigo, 4) as CategoriaCodigo,
+             category.nombre as CategoriaNombre, brand.nombre as Marca, prefix.nombre as Linea,
+             line.cantidad as Cantidad, line.numero as NumeroTransferencia, head.fecha as Fecha
+      from movement_line line
+      join movement_header head on head.numero = line.numero and head.status = 'F'
+      join destination on destination.codigo = head.codigo_recibe
+      join op_item item on item.codigo_barra = line.codigo_barra
+      join op_category category on category.codigo = item.codigo_categoria
+      join maker on maker.codigo = item.codigo_fabricante
+      left join brand_lookup brand on brand.codigo = item.codigo_marca
+      left join line_lookup prefix on prefix.codigo = left(category.codigo, 4)
+      where line.cantidad <> 1 and line.cantidad <> -1""",
     "ultimo": """
       select * exclude (rn, Fecha), strftime(Fecha, '%d/%m/%Y') as Fecha from (
         select Concatenar, CodigoBarra, Referencia, CodigoMarca, Cantidad, NumeroTransferencia, Fecha,
