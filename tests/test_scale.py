@@ -2,6 +2,7 @@
 
 import contextlib
 import re
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,47 @@ def test_hot_transfer_is_split(spark):
     assert "skew=true" in final and len(rows) == 30000
 
 
+def test_hot_item_in_the_snapshot(spark):
+    """A third of the facts and of the transfers belong to one item."""
+    ids = spark.range(0, 30000, 1, 16).withColumn("item", F.when(F.col("id") < 10000, 0).otherwise(F.col("id") % 500))
+    tables = {
+        "fact_stock": ids.select(
+            F.col("item").alias("item_id"), (F.col("id") % 7).alias("store_id"), F.lit(1.0).alias("existencia"),
+            F.lit(10.0).alias("precio_detal"), F.lit(8.0).alias("precio_promocion"),
+            (F.col("id") % 2).cast("int").alias("promocion"), F.lit("F").alias("status")),
+        "dim_item": spark.range(500).select(
+            F.col("id").alias("item_id"), F.lit(1).alias("category_id"), *[
+                F.concat(F.lit(c), F.col("id")).alias(c) for c in (
+                    "referencia", "codigo_marca", "codigo_barra", "nombre_marca", "nombre", "fabricante",
+                    "nombre_categoria")]),
+        "dim_category": spark.range(1).select(F.lit(1).alias("category_id"), *[
+            F.lit("c").alias(c) for c in ("codigo_sublinea", "nombre_sublinea", "nombre_categoria_principal")]),
+        "dim_store": spark.range(7).select(F.col("id").alias("store_id"), F.col("id").cast("string").alias("nombre_tienda")),
+        "movement_line": ids.select(F.col("id").alias("numero"), F.lit(5).alias("cantidad"),
+                                    F.concat(F.lit("codigo_barra"), "item").alias("codigo_barra")),
+        "movement_header": ids.select(F.col("id").alias("numero"), F.lit("2").alias("status"), F.lit(1).alias("codigo_recibe"),
+                                      F.timestamp_seconds(F.col("id") * 1000).alias("fecha")),
+        "destination": spark.range(1).select(F.lit(1).alias("codigo")),
+        "op_category": spark.range(1).select(F.lit("k").alias("codigo"), F.lit("k").alias("nombre")),
+        "maker": spark.range(1).select(F.lit("m").alias("codigo"), F.lit("m").alias("nombre")),
+    }
+    tables["op_item"] = tables["dim_item"].select(
+        "codigo_barra", "referencia", "codigo_marca", "nombre", F.lit("k").alias("codigo_categoria"),
+        F.lit("m").alias("codigo_fabricante"))
+    assert sl.stock_cells(tables["fact_stock"]).filter("item_id = 0").count() == 14
+    rules = sl.StockRules(regions=(sl.LabelRule("A - Casa Matriz", (0,)),), owners=())
+    with skew_settings(spark):
+        rows = sl.stock_snapshot(tables, rules).collect()
+    hot = [r for r in rows if r["Referencia"] == "referencia0"]
+    per_item = 20000 / 500
+    assert len(hot) == 14 and sum(r["Existencia_Total"] for r in hot) == 10000 + per_item
+    assert sum(r["Existencia_Total"] for r in rows) == 30000
+    house = sum(r["Existencia_Total"] for r in hot if r["NombreTienda"] == "0")
+    assert {r["Existencia_Total_CasaMatriz"] for r in hot} == {house}
+    latest = datetime(1970, 1, 1) + timedelta(seconds=29500 * 1000)  # transfer 29500 is the item's last
+    assert {r["Fecha"] for r in hot} == {latest.strftime("%d/%m/%Y")} and {r["Descuento"] for r in rows} == {"20%"}
+
+
 def test_latest_rows_are_cut_before_the_shuffle(spark):
     mv = sl.movements(fixture_tables(spark, SF), STATUSES, lookups=False)
     text = plan(sl.last_movement(mv))
