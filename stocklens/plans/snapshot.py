@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import discount_label, item_key, region_bucket
-from ..names import ITEM_KEY, SNAPSHOT_COLUMNS
+from ..names import SNAPSHOT_COLUMNS
 from ..operators.aggregates import (
     described_stock, label_stock, scope_sums,
 )

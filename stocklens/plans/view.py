@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from ..functions.items import normalise_promo
 from ..functions.text import backticked
-from ..names import CATALOG_DISCOUNT, DISCOUNT, VIEW_ALL, VIEW_HOUSE
+from ..names import CATALOG_DISCOUNT, DISCOUNT, VIEW_ALL, VIEW_BRANCHES, VIEW_HOUSE
 from ..operators import filters as f
 from ..operators.groups import duplicate_flag
 from ..operators.joins import with_catalog
@@ -43,13 +43,10 @@ class ViewFilters:
         return "match" if self.only_match else "mismatch"
 
 
-FILTER_NAMES = tuple(x.name for x in fields(ViewFilters))
-
-
 def prepare_rows(snapshot: DataFrame, view: str, flt: ViewFilters) -> DataFrame:
     """Steps that must precede the pivot."""
     rows = f.scope(snapshot, view)
-    if view != VIEW_ALL and view != VIEW_HOUSE:
+    if view == VIEW_BRANCHES:
         rows = f.by_region(rows, flt.region)
     rows = f.by_key_prefix(rows, flt.reference)
     date_col = flt.date_col if flt.date_col in rows.columns else None
