@@ -118,6 +118,20 @@ bad as (select source, rate - 2 * sqrt(rate * (1 - rate) / (n + 1)) > {MAX_HOST_
 select r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad as kept
 from ruled r join bad b on r.source is not distinct from b.source"""
 
+_base32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, {10 * g + 1}, 10))::bigint >> {35 - 5 * j}) & 31)::int + 1, 1)"
+    for g in range(4) for j in range(8))
+
+OP3 = f"""
+with hashed as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+rows as (select page_id, strlen(html)::bigint as payload_bytes, {_base32} as payload_digest,
+                min(page_id) over (partition by html) as first from hashed)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from rows"""
+
 LLM_SQL = {
+    "op3_warc_segments": OP3,
     "op1_mix_sources": OP1, "op2_license_scan": OP2, "op5_chat_format": OP5, "op9_quality_rules": OP9,
 }

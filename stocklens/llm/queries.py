@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, quality, syncmers
+from ..session import scratch_path
+from . import bpe, chat, idfile, licenses, mixing, quality, syncmers, warc
 from .common import stored, table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
+END_ID = 2
 LLM_QUERIES = {}
 
 
@@ -26,11 +31,33 @@ def op2_license_scan(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
+@query
+def op3_warc_segments(spark, sf):
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf, "pages"), path)
+    return warc.page_digests(warc.read_pages(spark, path))
+
+
 @query
 def op5_chat_format(spark, sf):
     return chat.format_chats(table(spark, sf, "conversations"))
 
 
+@query
+def op6_bpe_verify(spark, sf):
+    docs = table(spark, sf, "documents")
+    encoded = docs.select("doc_id", bpe.encode(F.col("text"), VOCABULARY, PATTERN).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), VOCABULARY, PATTERN))
+    return decoded.select(
+        "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op8_plane_files(spark, sf):
+    return idfile.write_and_read(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY, END_ID)
+
+
 @query
 def op9_quality_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
