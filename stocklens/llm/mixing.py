@@ -12,6 +12,8 @@ sum inside one bucket.  No task holds a source.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from .common import fresh, stored, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-BUCKET_ROWS = 65_536
 KEY_BITS = 60
 
 
@@ -65,7 +66,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0,
-        cut: str = "words", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+        cut: str = "words") -> DataFrame:
     """The rows of ``docs`` (doc_id, text or size, source, ...) with a column ``mix``:
     struct(size, source_size, target, taken, copies).
 
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     size = word_count(F.col("text")) if "text" in docs.columns else F.coalesce("size", F.lit(0)).cast("long")
     key = random_key(F.col("doc_id"), seed=seed)
     narrow = stored(docs.select("source", size.alias("size"), key.alias("key")), "mix-sizes")
-    buckets = max(1, -(-narrow.count() // bucket_rows))
+    buckets = max(1, isqrt(narrow.count()))   # as many buckets as rows in one, so both stay small
 
     def bucket(of: Column) -> Column:
         return F.shiftright(F.shiftright(of, KEY_BITS - 30) * F.lit(buckets).cast("long"), 30)

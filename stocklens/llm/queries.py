@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, idfile, licenses, mixing, quality, syncmers, warc
+from . import bpe, chat, idfile, licenses, mixing, quality, syncmers, toxicity, warc
 from .common import stored, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +53,14 @@ def op6_bpe_verify(spark, sf):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op7_string_kernel_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.with_scores(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op8_plane_files(spark, sf):
     return idfile.write_and_read(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY, END_ID)
