@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, idfile, licenses, mixing, quality, syncmers, toxicity, warc
+from . import bpe, chat, idfile, licenses, mixing, neardup, quality, syncmers, toxicity, warc
 from .common import stored, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,11 @@ def op3_warc_segments(spark, sf):
     return warc.page_digests(warc.read_pages(spark, path))
 
 
+@query
+def op4_dart_near_duplicates(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 @query
 def op5_chat_format(spark, sf):
     return chat.format_chats(table(spark, sf, "conversations"))
