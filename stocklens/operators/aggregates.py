@@ -42,13 +42,6 @@ def stock_cells(fact: DataFrame) -> DataFrame:
     return fact.groupBy("item_id", "store_id", *FLAGS).agg(*_measures())
 
 
-def has_unique_descriptions(items: DataFrame) -> bool:
-    """Whether no two item rows share a description: one aggregate over the
-    item dimension, cheap next to the facts."""
-    repeated = items.groupBy(*ITEM_COLUMNS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return repeated.isEmpty()
-
-
 def canonical_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One id per distinct item description.
 
@@ -63,15 +56,16 @@ def canonical_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ids, described
 
 
-def described_stock(fact: DataFrame, items: DataFrame, unique: bool | None) -> tuple[DataFrame, DataFrame]:
+def described_stock(fact: DataFrame, items: DataFrame, unique: bool) -> tuple[DataFrame, DataFrame]:
     """Stock per item, store, promotion and status on keys alone, and the item
     descriptions those keys stand for, both under ``canon_id``.
 
-    Items with one description are one item: their facts are summed again under
-    a common id.  ``unique=True`` states that there are none, ``None`` finds out.
+    Items with one description are one item: their cells are summed again under
+    a common id.  ``unique=True`` states that there are none and saves that step; if
+    the statement is wrong, such items keep rows of their own.
     """
     cells = stock_cells(fact)
-    if has_unique_descriptions(items) if unique is None else unique:
+    if unique:
         keyed = items.select(F.col("item_id").alias("canon_id"), *ITEM_COLUMNS)
         return cells.withColumnRenamed("item_id", "canon_id"), keyed
     ids, described = canonical_items(items)
@@ -79,13 +73,13 @@ def described_stock(fact: DataFrame, items: DataFrame, unique: bool | None) -> t
     return merged, described
 
 
-def stock_by_item_store(tables: dict[str, DataFrame], unique_items: bool | None = None) -> DataFrame:
+def stock_by_item_store(tables: dict[str, DataFrame], unique_items: bool = False) -> DataFrame:
     """Stock, highest price and highest promotion price per snapshot grain:
     item description, store, promotion and status.  Store ids are unique."""
     items = tables["dim_item"].join(tables["dim_category"], "category_id")
     stock, described = described_stock(
         nonnegative_stock(tables["fact_stock"]), items, unique_items)
-    return (stock.join(described, "canon_id").join(tables["dim_store"], "store_id").drop("canon_id"))
+    return stock.join(tables["dim_store"], "store_id").join(described, "canon_id").drop("canon_id")
 
 
 def label_stock(df: DataFrame, rules: StockRules) -> DataFrame:

@@ -6,7 +6,7 @@ unchanged, so filters compose without checks by the caller.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,9 @@ from ..names import (
 )
 
 DAY_FIRST = "dd/MM/yyyy"
-# Above this many excluded codes an anti join replaces the literal list.
-MAX_LITERALS = 1000
+# Spellings a date text may have, day first; the first that fits counts.
+DATE_FORMATS = ("d/M/yyyy[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "yyyy-M-d'T'H:mm[:ss]",
+                "d-M-yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "d/M/yy")
 
 
 def nonnegative_stock(fact: DataFrame) -> DataFrame:
@@ -63,24 +64,11 @@ def by_reference(df: DataFrame, reference) -> DataFrame:
     return df.filter(F.lower(stripped(F.col("Referencia").cast("string"))) == wanted)
 
 
-def by_key_prefix(df: DataFrame, reference, key: str = "Concatenar") -> DataFrame:
-    """Keys that can hold the reference: what :func:`by_reference` implies for
-    the item key, usable before an aggregation on that key."""
-    wanted = clean_reference(reference)
-    if not wanted or key not in df.columns:
-        return df
-    return df.filter(F.lower(stripped(quoted(key))).startswith(wanted))
-
-
 def _exclude(df: DataFrame, name: str, codes: Iterable[str] | None) -> DataFrame:
     wanted = sorted({c.strip().upper() for c in (codes or []) if c and c.strip()})
     if not wanted:
         return df
-    text = F.upper(quoted(name).cast("string"))
-    if len(wanted) <= MAX_LITERALS:
-        return df.filter(~F.coalesce(text.isin(wanted), F.lit(False)))
-    listed = df.sparkSession.createDataFrame([(c,) for c in wanted], "_code string")
-    return df.join(listed, text == F.col("_code"), "left_anti")
+    return df.filter(~F.coalesce(F.upper(quoted(name).cast("string")).isin(wanted), F.lit(False)))
 
 
 def exclude_brands(df: DataFrame, codes: Iterable[str] | None) -> DataFrame:
@@ -104,13 +92,14 @@ def promo_only(df: DataFrame) -> DataFrame:
     return df.filter(number_or_null(df, PROMO) == 1)
 
 
-def _year_of(df: DataFrame, name: str, fmt: str) -> Column:
+def _year_of(df: DataFrame, name: str, formats: Sequence[str]) -> Column:
     if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.year(quoted(name))
-    return F.year(F.try_to_timestamp(stripped(quoted(name).cast("string")), F.lit(fmt)))
+    text = stripped(quoted(name).cast("string"))
+    return F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
 
 
-def _probe_date_column(df: DataFrame, fmt: str) -> str | None:
+def _probe_date_column(df: DataFrame, formats: Sequence[str]) -> str | None:
     """One aggregate over all candidates; the result is a single row."""
     dated = (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
     named = date_columns(df.columns)
@@ -119,7 +108,7 @@ def _probe_date_column(df: DataFrame, fmt: str) -> str | None:
     if not pool:
         return None
     row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(_year_of(df, c, fmt)).alias(f"c{i}") for i, c in enumerate(pool)]).first()
+                 *[F.count(_year_of(df, c, formats)).alias(f"c{i}") for i, c in enumerate(pool)]).first()
     hits = {c: row[f"c{i}"] for i, c in enumerate(pool)}
     for c in named:
         if hits[c] > 0:
@@ -127,8 +116,9 @@ def _probe_date_column(df: DataFrame, fmt: str) -> str | None:
     return next((c for c in others if row["n"] and hits[c] / row["n"] >= 0.5), None)
 
 
-def exclude_year(df: DataFrame, year, date_col: str | None = None, fmt: str = DAY_FIRST) -> DataFrame:
-    """Drop the rows of one year; rows whose date cannot be read stay.
+def exclude_year(df: DataFrame, year, date_col: str | None = None,
+                 formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Drop the rows of one year; rows whose date has none of the spellings stay.
 
     Without ``date_col`` the column is found by name (a year column, then date
     columns) and content, which costs one aggregate over the data.
@@ -142,10 +132,10 @@ def exclude_year(df: DataFrame, year, date_col: str | None = None, fmt: str = DA
         if by_year is not None:
             found = number_or_null(df, by_year)
             return df.filter(F.coalesce(found != wanted, F.lit(True)))
-        date_col = _probe_date_column(df, fmt)
+        date_col = _probe_date_column(df, formats)
         if date_col is None:
             return df
-    return df.filter(F.coalesce(_year_of(df, date_col, fmt) != wanted, F.lit(True)))
+    return df.filter(F.coalesce(_year_of(df, date_col, formats) != wanted, F.lit(True)))
 
 
 def stock_range(df: DataFrame, lo: float = 1, hi: float = 11) -> DataFrame:
@@ -160,8 +150,8 @@ def stock_range(df: DataFrame, lo: float = 1, hi: float = 11) -> DataFrame:
     return df.filter(number_or_null(df, name).between(lo, hi))
 
 
-def value_search(df: DataFrame, col: str, text: str, n: int | None = 5) -> DataFrame:
-    """Distinct values of a column containing a text, ignoring case, in order."""
+def value_search(df: DataFrame, col: str, text: str, n: int | None = None) -> DataFrame:
+    """Distinct values of a column containing a text, ignoring case, in order: all, or the first ``n``."""
     require(df, [col])
     if not text:
         return df.select(quoted(col)).filter(F.lit(False))

@@ -1,6 +1,6 @@
 """Joins of the star schema, the transfer movements and the discount catalog.
 
-No join carries a broadcast hint.  Spark broadcasts a side when its estimated
+Only the store dimension of the star join is broadcast by hint, behind a count.  Elsewhere Spark broadcasts a side when its estimated
 or, with adaptive execution, its measured size is below the session threshold;
 otherwise both sides are shuffled and oversized partitions of a hot key are
 split at run time.
@@ -21,6 +21,7 @@ from ..names import CATALOG_DISCOUNT, DISCOUNT, ITEM_KEY, STOCK
 from .filters import nonnegative_stock, valid_headers, valid_lines
 
 Tables = dict[str, DataFrame]
+MAX_BROADCAST_STORES = 10_000
 
 
 def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -65,10 +66,18 @@ def item_dimension(tables: Tables) -> DataFrame:
 
 def star_join(tables: Tables, fact: DataFrame | None = None,
               items: DataFrame | None = None) -> DataFrame:
-    """Stock facts with item, category and store attributes, stock >= 0 only."""
+    """Stock facts with item, category and store attributes, stock >= 0 only.
+
+    Stores are few and hold most facts each, so they are broadcast if a count, which
+    reads no further than the bound, finds at most MAX_BROADCAST_STORES; more of them
+    are many keys and join by shuffle.
+    """
     fact = nonnegative_stock(tables["fact_stock"]) if fact is None else fact
     items = item_dimension(tables) if items is None else items
-    return fact.join(tables["dim_store"], "store_id").join(items, "item_id")
+    stores = tables["dim_store"]
+    if stores.limit(MAX_BROADCAST_STORES + 1).count() <= MAX_BROADCAST_STORES:
+        stores = F.broadcast(stores)
+    return fact.join(items, "item_id").join(stores, "store_id")
 
 
 def positive_items(df: DataFrame, stock: str = STOCK) -> DataFrame:

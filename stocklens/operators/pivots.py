@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require
-from ..functions.items import percent_sign, rounded_scaled, share, store_label
+from ..functions.items import percent_sign, region_bucket, rounded_half_even, rounded_scaled, share, store_label
 from ..functions.text import backticked, quoted, text_literal
 from ..names import (
     BRANCH_SHARE, BRANCH_TOTAL, BRANCH_WORD, FIXED_ATTRIBUTES, HOUSE_SHARE, HOUSE_TOTAL,
@@ -25,11 +25,6 @@ from .aggregates import item_attributes
 from .filters import drop_empty_rows, positive_total, scope
 from .joins import attributes_with_totals
 
-# Wider pivots leave generated code (spark.sql.codegen.maxFields counts the
-# input fields too); they aggregate in long form first.
-MAX_CASE_COLUMNS = 80
-
-
 def distinct_labels(df: DataFrame, label: Column) -> list[str]:
     """Labels present in the data, sorted; bounded like Spark's own pivot."""
     bound = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
@@ -42,17 +37,12 @@ def distinct_labels(df: DataFrame, label: Column) -> list[str]:
 
 def store_columns(stores: DataFrame, rules: StockRules, view: str) -> list[str]:
     """Pivot columns of a view from the store dimension (one row per store)."""
-    bound = int(stores.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    rows = stores.select("store_id", "nombre_tienda").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} stores")
-    pairs = [(rules.region_of(r["store_id"]), r["nombre_tienda"]) for r in rows]
+    region, store = region_bucket(F.col("store_id"), rules), F.col("nombre_tienda")
     if view == VIEW_HOUSE:
-        return sorted({r for r, _ in pairs if HOUSE_WORD in r})
-    named = [(r, s) for r, s in pairs if s is not None]
+        return distinct_labels(stores, F.when(region.contains(HOUSE_WORD), region))
     if view == VIEW_BRANCHES:
-        return sorted({s for r, s in named if BRANCH_WORD in r})
-    return _house_then_branch({f"{r} - {s}" for r, s in named})
+        return distinct_labels(stores, F.when(region.contains(BRANCH_WORD), store))
+    return _house_then_branch(distinct_labels(stores, store_label(region, store)))
 
 
 def _house_then_branch(labels) -> list[str]:
@@ -65,6 +55,8 @@ def item_sums(df: DataFrame, label: Column, labels: Sequence[str],
     """One row per item: a stock sum per label (0 where absent) and named totals.
 
     ``totals`` maps a name to the condition, over ``_label``, of the rows it sums.
+    Rows are summed per item and label first, so the wide sums see a few rows per
+    item and the plan is the same for any number of labels.
     """
     clash = {ITEM_KEY, *totals} & set(labels)
     if clash:
@@ -72,16 +64,12 @@ def item_sums(df: DataFrame, label: Column, labels: Sequence[str],
     rows = (df.filter(F.col(ITEM_KEY).isNotNull())
               .select(ITEM_KEY, STOCK, label.alias("_label"))
               .filter("_label is not null"))
+    cells = rows.groupBy(ITEM_KEY, "_label").agg(F.sum(STOCK).alias(STOCK))
     sums = [F.sum(F.when(cond, F.col(STOCK))).alias(n) for n, cond in totals.items()]
-    if len(labels) <= MAX_CASE_COLUMNS:
-        # SQL text: one call per column when the plan is built
-        cases = [F.expr(f"sum(case when _label = {text_literal(v)} then {STOCK} end) as {backticked(v)}")
-                 for v in labels]
-        wide = rows.groupBy(ITEM_KEY).agg(*cases, *sums)
-    else:
-        cells = rows.groupBy(ITEM_KEY).pivot("_label", list(labels)).agg(F.sum(STOCK))
-        wide = cells.join(rows.groupBy(ITEM_KEY).agg(*sums), ITEM_KEY)
-    return wide.na.fill(0)
+    # SQL text: one call per column when the plan is built
+    cases = [F.expr(f"sum(case when _label = {text_literal(v)} then {STOCK} end) as {backticked(v)}")
+             for v in labels]
+    return cells.groupBy(ITEM_KEY).agg(*cases, *sums).na.fill(0)
 
 
 def _needed(df: DataFrame, *extra: str) -> None:
@@ -136,7 +124,18 @@ def pivot_main_house_share(df: DataFrame, total: float | None = None,
     """Main-house view with every row's share of the global (or a given) total."""
     _needed(df)
     view = _scoped_pivot(df, VIEW_HOUSE, REGION, HOUSE_TOTAL, columns, one_per_item)
-    return global_share(view, HOUSE_TOTAL, total)
+    return _with_share(view, HOUSE_TOTAL, _house_total(df, one_per_item) if total is None else total)
+
+
+def _house_total(df: DataFrame, one_per_item: bool) -> Column:
+    """Sum over the rows of the main-house view, worked out at item level: an item's
+    total counts once for each of its attribute rows."""
+    rows = scope(df, VIEW_HOUSE).filter(F.col(ITEM_KEY).isNotNull())
+    per_item = rows.groupBy(ITEM_KEY).agg(F.sum(STOCK).alias("_total"))
+    if not one_per_item:
+        repeats = rows.select(*FIXED_ATTRIBUTES).distinct().groupBy(ITEM_KEY).agg(F.count(F.lit(1)).alias("_rows"))
+        per_item = per_item.join(repeats, ITEM_KEY).select((F.col("_total") * F.col("_rows")).alias("_total"))
+    return per_item.agg(F.sum("_total")).scalar()
 
 
 def global_share(df: DataFrame, col: str, total: float | None = None,
@@ -145,8 +144,14 @@ def global_share(df: DataFrame, col: str, total: float | None = None,
 
     The sum is a scalar subquery: partial sums per task, one number back.
     """
-    whole = df.agg(F.sum(quoted(col))).scalar() if total is None else F.lit(total)
-    part = rounded_scaled(quoted(col).cast("double") / F.nullif(whole, F.lit(0)) * 100)
+    return _with_share(df, col, df.agg(F.sum(quoted(col))).scalar() if total is None else total, out)
+
+
+def _with_share(df: DataFrame, col: str, whole: Column | float, out: str = HOUSE_SHARE) -> DataFrame:
+    """Shares of a computed sum round as arrays do, those of a given number correctly."""
+    rounded = rounded_scaled if isinstance(whole, Column) else rounded_half_even
+    whole = whole if isinstance(whole, Column) else F.lit(whole)
+    part = rounded(quoted(col).cast("double") / F.nullif(whole, F.lit(0)) * 100)
     return df.withColumn(out, F.when(whole > 0, percent_sign(part)).otherwise("0%"))
 
 

@@ -21,13 +21,14 @@ _PAIR = ["referencia", "codigo_marca"]
 def pair_totals(tables: Tables, items: DataFrame, rules: StockRules) -> DataFrame:
     """Main-house and branch stock per (reference, brand), positive pairs only.
 
-    Reads three columns of the facts and sums per item before it meets the item
-    dimension.  Stock is never negative here, so a pair is positive exactly when
+    Sums three columns of the facts per item and store, so only these cells meet the
+    stores, and per item before it meets the item dimension.  Stock is never negative here, so a pair is positive exactly when
     one of its facts is.
     """
     fact = nonnegative_stock(tables["fact_stock"]).select("item_id", "store_id", "existencia")
     house, branch = scope_sums(F.col("existencia"), region_bucket(F.col("store_id"), rules))
-    per_item = (fact.join(tables["dim_store"].select("store_id"), "store_id")
+    cells = fact.groupBy("item_id", "store_id").agg(F.sum("existencia").alias("existencia"))
+    per_item = (cells.join(tables["dim_store"].select("store_id"), "store_id")
                     .groupBy("item_id")
                     .agg(house, branch, F.max("existencia").alias("_highest")))
     return (per_item.join(items.select("item_id", *_PAIR), "item_id")
@@ -59,13 +60,14 @@ def last_movement_dates(tables: Tables, statuses=("2",), excluded_qty=(1, -1)) -
 
 def stock_snapshot(tables: Tables, rules: StockRules, *, key: str = "concatenar",
                    statuses=("2",), excluded_qty=(1, -1), ordered: bool = True,
-                   unique_items: bool | None = None) -> DataFrame:
+                   unique_items: bool = False) -> DataFrame:
     """The 21-column snapshot.
 
-    Facts are summed on keys alone, before any join (and once more where items
-    share a description; ``unique_items`` states or finds out).  Totals and movement dates are worked out per (reference,
-    brand) and attached to the item descriptions, so the wide text columns meet
-    the stock in one last join and are never shuffled with it unless sorted.
+    Facts are summed on keys alone, before any join, and the cells once more under one
+    id per item description unless ``unique_items`` states that no two items share one.
+    Totals and movement dates are worked out per (reference, brand) and attached to the
+    item descriptions.  The cells meet the stores before they meet the texts, so the wide
+    text columns join last.
     """
     items = item_dimension(tables)
     stock, described = described_stock(
@@ -80,8 +82,8 @@ def stock_snapshot(tables: Tables, rules: StockRules, *, key: str = "concatenar"
         same = (item_key(F.col("referencia"), F.col("codigo_marca"))
                 == item_key(F.col("_mov_ref"), F.col("_mov_brand")))
     wanted = pair_totals(tables, items, rules).join(moved, same).drop("_mov_ref", "_mov_brand")
-    rows = label_stock(stock.join(described.join(wanted, _PAIR), "canon_id")
-                            .join(tables["dim_store"], "store_id"), rules)
+    rows = label_stock(stock.join(tables["dim_store"], "store_id")
+                            .join(described.join(wanted, _PAIR), "canon_id"), rules)
     named = {
         "Referencia": F.col("referencia"), "CodigoBarra": F.col("codigo_barra"),
         "NombreMarca": F.col("nombre_marca"), "CodigoMarca": F.col("codigo_marca"),

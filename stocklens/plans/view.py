@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..functions.columns import year_column
 from ..functions.items import normalise_promo
 from ..functions.text import backticked
 from ..names import CATALOG_DISCOUNT, DISCOUNT, VIEW_ALL, VIEW_BRANCHES, VIEW_HOUSE
@@ -34,6 +35,7 @@ class ViewFilters:
     only_mismatch: bool = False
     exclude_year: int | str | None = None
     date_col: str | None = "Fecha"
+    date_formats: Sequence[str] = f.DATE_FORMATS
 
     @property
     def catalog_mode(self) -> str | None:
@@ -48,9 +50,9 @@ def prepare_rows(snapshot: DataFrame, view: str, flt: ViewFilters) -> DataFrame:
     rows = f.scope(snapshot, view)
     if view == VIEW_BRANCHES:
         rows = f.by_region(rows, flt.region)
-    rows = f.by_key_prefix(rows, flt.reference)
-    date_col = flt.date_col if flt.date_col in rows.columns else None
-    rows = f.exclude_year(rows, flt.exclude_year, date_col)
+    # A year column comes before any date column.
+    dated = flt.date_col in rows.columns and year_column(rows.columns) is None
+    rows = f.exclude_year(rows, flt.exclude_year, flt.date_col if dated else None, flt.date_formats)
     return f.clear_promo_without_stock(rows)
 
 

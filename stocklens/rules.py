@@ -33,7 +33,7 @@ class StockRules:
     def region_of(self, store_id) -> str:
         """Region of one store, for resolving pivot columns on the driver."""
         for rule in self.regions:
-            if store_id in rule.values:
+            if str(store_id) in map(str, rule.values):
                 return rule.label
         return self.no_region
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,15 @@ def build_session(app: str = "stocklens", master: str | None = None, **extra) ->
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the cluster names for checkpoints.
+    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where no such folder is set (local runs, tests) a temporary one is used.
+    Only on a local master, where all tasks see one disk, an unset folder falls back to a
+    temporary one; elsewhere it is an error, as no other folder is known to be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "stocklens")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

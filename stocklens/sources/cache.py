@@ -17,14 +17,18 @@ class Snapshot:
     """A snapshot loaded once and shared by every view until it is refreshed.
 
     Blocks spill to executor disks; blocks lost with an executor are recomputed
-    from the sources.
+    from the sources.  At most ``max_views`` views are kept, the oldest goes first, and a
+    change of the excluded year drops them all.
     """
 
-    def __init__(self, load: Callable[[], DataFrame], level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+    def __init__(self, load: Callable[[], DataFrame], level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+                 max_views: int = 8):
         self._load = load
         self._level = level
         self._data: DataFrame | None = None
         self._views: dict[tuple, DataFrame] = {}
+        self._year: str | None = None
+        self._max_views = max_views
 
     def persist(self) -> DataFrame:
         """The snapshot, loaded and kept on first use."""
@@ -34,9 +38,15 @@ class Snapshot:
 
     def pivot(self, view: str = VIEW_ALL, exclude_year=None,
               columns: Sequence[str] | None = None) -> DataFrame:
-        """A pivot view, kept per view, excluded year and column list."""
-        key = (view, exclude_year, None if columns is None else tuple(columns))
+        """A pivot view, kept per view and column list while the excluded year stays."""
+        year = None if exclude_year is None else str(exclude_year).strip()
+        if year != self._year:
+            self.clear_views()
+            self._year = year
+        key = (view, None if columns is None else tuple(columns))
         if key not in self._views:
+            while len(self._views) >= self._max_views:
+                self._views.pop(next(iter(self._views))).unpersist()
             rows = prepare_rows(self.persist(), view, ViewFilters(exclude_year=exclude_year))
             self._views[key] = PIVOTS[view](rows, columns).persist(self._level)
         return self._views[key]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +37,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def _cells(value: Column, sep: str) -> Column:
     """Cells of a delimited line, whatever their number; blank cells are NULL.
 
-    A separator counts only where an even number of quotes follows it.
+    A separator counts only outside quotes: the line is cut at its quotes, separators
+    are marked in every second piece, and the whole is cut at the marks.  The work is
+    linear in the line's length.
     """
-    outside_quotes = re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    mark = "\x01"
+    by_quote = F.split(F.replace(value, F.lit(mark), F.lit(" ")), '"', -1)
+    marked = F.transform(by_quote, lambda part, i: F.when(
+        i % 2 == 0, F.replace(part, F.lit(sep), F.lit(mark))).otherwise(part))
 
     def clean(cell: Column) -> Column:
         bare = F.regexp_replace(stripped(cell), r'^"(.*)"$', "$1")
         return F.nullif(stripped(F.replace(bare, F.lit('""'), F.lit('"'))), F.lit(""))
 
-    return F.transform(F.split(value, outside_quotes, -1), clean)
+    return F.transform(F.split(F.array_join(marked, '"'), mark, -1), clean)
 
 
 def _marked(cells: Column, *words: str) -> Column:
@@ -63,26 +66,37 @@ def load_catalog(spark: SparkSession, path: str, header_row: int | None = None,
     """Catalog rows of every file under ``path`` as ``Concatenar``, ``% Descuento``.
 
     The header of a file is its first line, within ``scan_rows``, having a cell
-    with each marker word; the first two marked columns are kept, or the
-    ``fallback`` positions.  ``header_row`` (from 0) is used for files without
-    such a line; files left without a header contribute no rows.
+    with each marker word, or line ``header_row`` (from 0).  Of its cells the first two
+    marked ones count, or those at the ``fallback`` positions, and the two columns are
+    told apart by their exact names.  A file without a header or without both names
+    fails the read; the error names it.
     """
-    lines = numbered_lines(spark, path).withColumn("cells", _cells(F.col("value"), sep)).drop("value")
-    is_header = ((F.size(_marked(F.col("cells"), KEY_WORD)) > 0)
-                 & (F.size(_marked(F.col("cells"), PERCENT_WORD)) > 0))
-    eligible = is_header & (F.col("line") < scan_rows)
+    lines = numbered_lines(spark, path)
+    near_top = F.col("line") < scan_rows
+    if header_row is not None:
+        near_top = near_top | (F.col("line") == header_row)
+    cells = F.when(near_top, _cells(F.col("value"), sep))
+    tops = lines.select("file", "line", cells.alias("cells"))
+    found = (F.coalesce((F.size(_marked(F.col("cells"), KEY_WORD)) > 0)
+                        & (F.size(_marked(F.col("cells"), PERCENT_WORD)) > 0), F.lit(False))
+             & (F.col("line") < scan_rows))
     given = F.lit(False) if header_row is None else F.col("line") == header_row
-    heads = (lines.filter(eligible | given)
-                  .select("file", "line", "cells", eligible.alias("found"))
-                  .groupBy("file")
-                  .agg(F.min_by(F.struct("line", "cells"), F.struct(~F.col("found"), "line")).alias("head")))
+    order = F.when(found | given, F.struct(~found, "line"))
+    heads = tops.groupBy("file").agg(F.min_by(F.struct("line", "cells"), order).alias("head"))
     marked = _marked(F.col("head.cells"), KEY_WORD, PERCENT_WORD)
-    enough = F.size(marked) >= 2
-    heads = heads.select(
-        "file", F.col("head.line").alias("head_line"),
-        F.when(enough, marked[0]).otherwise(fallback[0]).alias("key_at"),
-        F.when(enough, marked[1]).otherwise(fallback[1]).alias("percent_at"))
+    places = F.when(F.size(marked) >= 2, F.slice(marked, 1, 2)).otherwise(F.array(*[F.lit(i) for i in fallback]))
+    heads = heads.withColumn("places", places)
+
+    def place(name: str) -> Column:
+        at = F.filter("places", lambda i: F.coalesce(F.get("head.cells", i) == name, F.lit(False)))
+        missing = F.raise_error(F.concat(F.lit(f"no column '{name}' in the header of "), "file"))
+        return F.coalesce(F.get(at, F.lit(0)), missing.cast("int"))
+
+    no_header = F.raise_error(F.concat(F.lit(f"no header in the first {scan_rows} lines of "), "file"))
+    heads = heads.select("file", F.coalesce("head.line", no_header.cast("bigint")).alias("head_line"),
+                         place(ITEM_KEY).alias("key_at"), place(CATALOG_PERCENT).alias("percent_at"))
     body = lines.join(heads, "file").filter(F.col("line") > F.col("head_line"))
+    body = body.select("key_at", "percent_at", _cells(F.col("value"), sep).alias("cells"))
     picked = body.select(F.get("cells", F.col("key_at")).alias(ITEM_KEY),
                          F.get("cells", F.col("percent_at")).alias(CATALOG_PERCENT))
     return picked.dropna("all")

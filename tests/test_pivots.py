@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 import stocklens as sl
 from data import random_snapshot, snapshot_frame, snapshot_row
 from stocklens.names import FIXED_ATTRIBUTES, SNAPSHOT_COLUMNS
-from stocklens.operators import pivots
 
 
 def as_dicts(rows):
@@ -37,10 +36,7 @@ def brute_all_stores(rows):
     return out
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_all_stores_against_brute_force(spark, monkeypatch, wide):
-    if wide:
-        monkeypatch.setattr(pivots, "MAX_CASE_COLUMNS", 0)
+def test_all_stores_against_brute_force(spark):
     rows = random_snapshot(1)
     got = sl.pivot_all_stores(snapshot_frame(spark, rows))
     want = brute_all_stores(rows)
@@ -165,3 +161,10 @@ def test_attribute_choice_is_the_smallest_with_null_first(spark):
     row = sl.item_attributes(df).collect()[0]
     assert (row["Descuento"], row["Promocion"]) == (None, 1)
     assert sl.item_attributes(df, one_per_item=False).count() == 3
+
+
+def test_given_total_rounds_correctly(spark):
+    df = spark.createDataFrame([(1.115,)], "v double")
+    assert sl.global_share(df, "v", 100.0, "p").first()["p"] == "1.11%"
+    both = spark.createDataFrame([(1.115,), (98.885,)], "v double")
+    assert {r["p"] for r in sl.global_share(both, "v", out="p").collect()} == {"1.12%", "98.88%"}

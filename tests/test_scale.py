@@ -185,12 +185,15 @@ def test_facts_are_combined_before_their_only_shuffle(spark):
     with no_broadcast(spark):
         text = plan(reg.rows(spark, SF))
     assert "Window" not in text
-    fact = text[text.index("partial_sum(existencia"):]
     assert "HashAggregate" in text and "SortAggregate" not in text
+    # every shuffle on the store alone reads sums per item and store or the store dimension, and no texts
+    for at in re.finditer(r"Exchange hashpartitioning\(store_id#\d+, \d+\)", text):
+        below = text[at.end():at.end() + 1500].split("Exchange", 1)[0]
+        assert "nombre" not in below.split("nombre_tienda")[0]
+        assert "existencia" not in below or "sum(existencia" in below
     # text columns of the items are not part of the grouped keys
     keys = re.search(r"HashAggregate\(keys=\[([^\]]*)\], functions=\[sum\(existencia", text).group(1)
     assert re.sub(r"#\d+L?", "", keys) == "item_id, store_id, promocion, status"
-    assert fact
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
@@ -220,12 +223,6 @@ def test_no_python_and_no_cross_products(spark, name):
     assert "SinglePartition" not in text.replace("Subquery", "") or name == "v4_pivot_main_house_share"
 
 
-def test_reference_filter_narrows_the_pivot_input(spark):
-    snap = reg.rows(spark, SF)
-    text = optimized(sl.stock_view(snap, "Todo", None, STORE_LABELS, reference="red widget"))
-    assert text.count("StartsWith(lower") >= 1
-
-
 def test_unhinted_joins(spark):
     for name in ("q1_stock_snapshot", "q2_stock_view", "j8_catalog_left_join"):
         logical = reg.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()

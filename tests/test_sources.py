@@ -22,31 +22,47 @@ def pairs(df):
 
 
 def test_catalog_header_anywhere_in_the_first_rows(spark, tmp_path):
-    write(tmp_path, "a.csv", "Promo 2024;;\nzona;norte;\n\nNombre;CONCATENAR ref;% Descuento final\n"
+    write(tmp_path, "a.csv", "Promo 2024;;\nzona;norte;\n\nNombre; Concatenar ;% Descuento\n"
                              "x;k1;10%\r\n\"y;z\";\"k\"\"2\";\n;;\n")
     write(tmp_path, "b.csv", "% Descuento;otra;Concatenar\n0.5;q;k3\n")
-    write(tmp_path, "c.csv", "a;b\nc;d\n")
     got = sl.load_catalog(spark, str(tmp_path))
     assert got.columns == ["Concatenar", "% Descuento"]
-    # the first two marked columns are taken in file order
-    assert pairs(got) == [("0.5", "k3"), ("k\"2", "None"), ("k1", "10%")]
+    # columns are told apart by name, whatever their order
+    assert pairs(got) == [("k\"2", "None"), ("k1", "10%"), ("k3", "0.5")]
+
+
+def test_catalog_files_without_header_or_names_fail_by_name(spark, tmp_path):
+    write(tmp_path, "good.csv", "Concatenar;% Descuento\nk;1\n")
+    write(tmp_path, "bare.csv", "a;b\nc;d\n")
+    with pytest.raises(Exception, match="no header in the first 50 lines of .*bare.csv"):
+        sl.load_catalog(spark, str(tmp_path)).collect()
+    write(tmp_path, "bare.csv", "Concatenar ref;Descuento final\nc;d\n")
+    with pytest.raises(Exception, match="no column .* in the header of .*bare.csv"):
+        sl.load_catalog(spark, str(tmp_path)).collect()
 
 
 def test_catalog_given_header_and_fallback_positions(spark, tmp_path):
-    write(tmp_path, "a.csv", "t\nh0;h1;h2;h3;h4;h5;h6\nk1;1;2;3;4;5;7%\nk2;1\n")
-    assert sl.load_catalog(spark, str(tmp_path)).count() == 0
+    write(tmp_path, "a.csv", "t\nConcatenar;h1;h2;h3;h4;h5;% Descuento\nk1;1;2;3;4;5;7%\nk2;1\n")
     assert pairs(sl.load_catalog(spark, str(tmp_path), header_row=1)) == [("k1", "7%"), ("k2", "None")]
-    # one column holds both words: the fallback positions apply
-    write(tmp_path, "a.csv", "concatenar y descuento;b\nk1;9\n")
-    assert pairs(sl.load_catalog(spark, str(tmp_path), fallback=(0, 1))) == [("k1", "9")]
+    # fewer than two marked cells: the fallback positions apply, by name as well
+    write(tmp_path, "a.csv", "x\nConcatenar;b\nk1;9\n")
+    with pytest.raises(Exception, match="no column '% Descuento'"):
+        sl.load_catalog(spark, str(tmp_path), header_row=1, fallback=(0, 1)).collect()
 
 
-def test_catalog_header_below_the_scanned_rows_is_not_found(spark, tmp_path):
-    write(tmp_path, "a.csv", "x;y\n" * 50 + "Concatenar;Descuento\nk;1\n")
-    assert sl.load_catalog(spark, str(tmp_path)).count() == 0
+def test_catalog_header_below_the_scanned_rows(spark, tmp_path):
+    write(tmp_path, "a.csv", "x;y\n" * 50 + "Concatenar;% Descuento\nk;1\n")
+    with pytest.raises(Exception, match="no header"):
+        sl.load_catalog(spark, str(tmp_path)).collect()
     assert sl.load_catalog(spark, str(tmp_path), scan_rows=51).count() == 1
 
 
+def test_catalog_lines_of_many_quoted_cells(spark, tmp_path):
+    wide = ";".join(['"a;b"'] * 10_000)
+    write(tmp_path, "a.csv", f"Concatenar;% Descuento\nk;1;{wide}\n")
+    assert pairs(sl.load_catalog(spark, str(tmp_path))) == [("k", "1")]
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 40) for i in range(3000)]
     write(tmp_path, "long.txt", "\n".join(lines))
@@ -117,6 +133,9 @@ def test_database_reader_options(spark):
     jdbc_reader(spark, "jdbc:none", "t", partitionColumn="id", lowerBound=0, upperBound=9, numPartitions=4)
     with pytest.raises(ValueError, match="numPartitions"):
         jdbc_reader(spark, "jdbc:none", "t", partitionColumn="id", lowerBound=0, upperBound=9)
+    for name in ("fact_stock", "db.dbo.MOVTRANSFERENCIAS"):
+        with pytest.raises(ValueError, match="partitionColumn"):
+            jdbc_reader(spark, "jdbc:none", name)
 
 
 def test_warehouse_names_are_adopted(spark, tmp_path):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import stocklens as sl
 from data import random_snapshot, snapshot_frame, snapshot_row
@@ -43,3 +44,23 @@ def test_reference_search_equals_filtering_the_full_view(spark):
 def test_unknown_filters_are_refused(spark):
     with pytest.raises(TypeError):
         sl.stock_view(snapshot_frame(spark, [snapshot_row()]), "Todo", colour="red")
+
+
+def test_reference_filter_equals_a_filter_after_the_pivot(spark):
+    """Also where the key does not begin with the reference, and for columns the item lacks."""
+    rows = snapshot_frame(spark, random_snapshot(9)).withColumn("Concatenar", F.concat(F.lit("x-"), "Concatenar"))
+    got = sl.stock_view(rows, "Solo Sucursales", reference="r1")
+    kept = sl.Snapshot(lambda: rows)
+    after = kept.view("Solo Sucursales", reference="r1")
+    assert got.columns == after.columns and got.count() > 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, after.collect()))
+    whole = sl.stock_view(rows, "Solo Sucursales")
+    assert whole.columns == got.columns
+    kept.release()
+
+
+def test_year_column_comes_before_the_date(spark):
+    rows = snapshot_frame(spark, random_snapshot(9)).withColumn("Año", F.lit(2020))
+    all_rows = sl.stock_view(rows, "Solo Sucursales").count()
+    assert sl.stock_view(rows, "Solo Sucursales", exclude_year=2024).count() == all_rows
+    assert sl.stock_view(rows, "Solo Sucursales", exclude_year=2020).count() == 0

@@ -98,6 +98,12 @@ STORE_LABELS = (
     sorted(f"{RULES.region_of(i)} - {s}" for i, s in STORES.items() if HOUSE_WORD in RULES.region_of(i))
     + sorted(f"{RULES.region_of(i)} - {s}" for i, s in STORES.items() if BRANCH_WORD in RULES.region_of(i)))
 
+# More than 80 pivot columns: each store once per status and promotion flag.
+WIDE_LABELS = [f"{label}/{status}/{flag}" for label in STORE_LABELS for status in ("F", "O") for flag in (0, 1)]
+# Columns of whole numbers and texts, spelled alike by both engines.
+CHECKED = {"part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "supplier": ("s_suppkey", "s_nationkey"),
+           "nation": ("n_nationkey", "n_name"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linestatus"),
+           "orders": ("o_orderkey", "o_custkey", "o_orderstatus"), "customer": ("c_custkey",)}
 
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in BASE_TABLES}

@@ -9,12 +9,19 @@ from __future__ import annotations
 
 import re
 
+from stocklens.names import FIXED_ATTRIBUTES
+
 from .fixtures import (
-    BASE_TABLES, BRANCH_STORES, HOUSE_REGIONS, RULES, STORE_LABELS, VIEWS,
+    BASE_TABLES, BRANCH_STORES, CHECKED, HOUSE_REGIONS, RULES, STORE_LABELS, VIEWS, WIDE_LABELS,
 )
 
-FIXED = ("Concatenar, Referencia, CodigoMarca, NombreMarca, Nombre, Fabricante, CodigoSubLinea, "
-         "Linea, Encargado, Descuento, Promocion, NombreCategoria, Fecha")
+FIXED = ", ".join(FIXED_ATTRIBUTES)
+
+# Every odd item but the first with the texts of the item before it.
+SHARED = """dim_item as (
+      select i.item_id, e.* exclude (item_id) from own_item i
+      join own_item e on e.item_id = case when i.item_id % 2 = 1 and i.item_id > 1 then i.item_id - 1 else i.item_id end),
+"""
 
 
 def _text_list(values) -> str:
@@ -48,6 +55,11 @@ def _global_share(part: str, total: str) -> str:
             f"else '0%' end")
 
 
+def _given_share(part: str, total: str) -> str:
+    """Percent text of a given total, correctly rounded."""
+    return f"cast(cast(printf('%.2f', {part} / {total} * 100) as double) as varchar) || '%'"
+
+
 def _pct(text: str) -> str:
     number = f"try_cast(trim(replace({text}, '%', '')) as double)"
     return f"coalesce(cast(cast(round_even({number}, 0) as bigint) as varchar) || '%', {text})"
@@ -197,7 +209,8 @@ def _view_columns(labels, *totals: str) -> str:
 
 SELECTS = {
     "s1_load_snapshot_sources": " union all ".join(
-        f"select '{t}' as tabla, count(*) as filas from {t}" for t in BASE_TABLES),
+        f"select '{t}' as tabla, count(*) as filas, cast({' + '.join(f'coalesce(sum(length(cast({c} as varchar))), 0)' for c in CHECKED[t])}"
+        f" as bigint) as letras from {t}" for t in BASE_TABLES),
     "s2_load_table": "select * from part",
     "s3_load_catalog_files": "select Concatenar, nullif(Descuento_Catalogo, '') as Descuento_Catalogo from catalogo",
     "s4_catalog_contract": "select * from catalogo",
@@ -210,7 +223,10 @@ SELECTS = {
     "s7_discount_report": f"""
       select Concatenar, coalesce(Descuento, '') as Descuento, coalesce(Descuento_Catalogo, '') as Descuento_Catalogo
       from ({_with_catalog('v3')})""",
-    "s8_snapshot_cache": f"select *, '' as Descuento_Catalogo, false as _dup_desc from ({_branches('limpia')})",
+    "s8_snapshot_cache": f"""
+      select carga, v.* from (select unnest(['first', 'again']) as carga) cross join (
+        select 'branches' as vista, Concatenar, CodigoMarca, Descuento, Sucursal_Total as total from ({_branches('limpia')})
+        union all select 'house', Concatenar, CodigoMarca, Descuento, Casa_matriz_Total from ({_house('limpia')})) v""",
     "p1_item_key": """
       select i.item_id, coalesce(i.referencia, '') || coalesce(i.codigo_marca, '') as Concatenar,
              coalesce(i.referencia, '') || coalesce(b.nombre, '') as con_nombre
@@ -233,7 +249,7 @@ SELECTS = {
       from (select distinct Referencia, CodigoMarca, Existencia_Total_CasaMatriz, Existencia_Total_Sucursales from foto)""",
     "p7_share_of_global_total": f"""
       select Referencia, Existencia_Total, {_global_share('Existencia_Total', 'total')} as parte,
-             {_global_share('Existencia_Total', 'cast(1000000 as double)')} as parte_dada
+             {_given_share('Existencia_Total', 'cast(1000000 as double)')} as parte_dada
       from (select Referencia, sum(Existencia_Total) as Existencia_Total,
                    sum(sum(Existencia_Total)) over () as total
             from etiquetado where Referencia is not null group by Referencia)""",
@@ -258,9 +274,15 @@ SELECTS = {
     "f8_promo_only": f"select {TRIM}, Casa_matriz_Total from v3 where Promocion = 1",
     "f9_exclude_year": f"""
       select Concatenar, CodigoBarra, NombreTienda, Promocion, Status, Fecha from foto where {NOT_2001}""",
+    "f9_exclude_year_spellings": """
+      select o_orderkey, Fecha from (
+        select o_orderkey, cast(o_orderdate as date) as dia, case o_orderkey % 4
+                 when 0 then strftime(o_orderdate, '%d/%m/%Y') when 1 then strftime(o_orderdate, '%-d/%-m/%Y')
+                 when 2 then strftime(o_orderdate, '%Y-%m-%d') else 'sin fecha' end as Fecha from orders)
+      where Fecha = 'sin fecha' or year(dia) <> 1996""",
     "f10_main_house_stock_range": f"select {TRIM}, Casa_matriz_Total from v1 where Casa_matriz_Total between 1 and 11",
     "f11_value_search": """
-      select distinct Referencia from foto where lower(Referencia) like '%ring%' order by Referencia limit 5""",
+      select distinct Referencia from foto where lower(Referencia) like '%ring%' order by Referencia""",
     "f12_catalog_match": f"""
       select {TRIM}, Descuento_Catalogo, Casa_matriz_Total from ({_with_catalog('v3')})
       where Descuento_Catalogo = Descuento""",
@@ -305,6 +327,7 @@ SELECTS = {
         on a.Concatenar = t.Concatenar""",
     "j8_catalog_left_join": f"select {TRIM}, Descuento_Catalogo, Casa_matriz_Total from ({_with_catalog('v1')})",
     "a1_stock_by_item_store": "select * from por_tienda",
+    "a1_stock_by_shared_item": "select * from por_tienda",
     "a2_positive_keys": "select distinct Referencia, CodigoMarca from etiquetado where Existencia_Total > 0",
     "a3_stock_by_reference": """
       select Referencia, sum(Existencia_Total) as Existencia_Total from foto
@@ -318,6 +341,13 @@ SELECTS = {
       select 0 as orden, 'Todas' as Region
       union all select distinct 1, Region from etiquetado where Region like '%Sucursales%'""",
     "v1_pivot_all_stores": "select * from v1",
+    "v1_pivot_many_columns": f"""
+      select * from (
+        select Concatenar, {_sums("(Region || ' - ' || NombreTienda || '/' || Status || '/' || Promocion)", WIDE_LABELS)},
+               sum(case when Region like '%Casa Matriz%' then Existencia_Total else 0 end) as Casa_matriz_Total,
+               sum(case when Region like '%Sucursales%' then Existencia_Total else 0 end) as Sucursal_Total
+        from foto group by Concatenar)
+      where not (Casa_matriz_Total = 0 and Sucursal_Total = 0)""",
     "v2_pivot_branches": "select * from v2",
     "v3_pivot_main_house": "select * from v3",
     "v4_pivot_main_house_share": f"""
@@ -333,6 +363,9 @@ SELECTS = {
     "n3_duplicate_flag": f"select {TRIM}, Linea, Encargado, _dup_desc, Casa_matriz_Total from ({_flagged('v3')})",
     "o1_order_by_reference": "select * from etiquetado order by Referencia",
     "q1_stock_snapshot": "select * from foto order by Referencia",
+    "q1_stock_snapshot_shared_item": """
+      select Referencia, CodigoBarra, NombreTienda, Promocion, Status, Existencia_Total, Descuento,
+             Existencia_Total_CasaMatriz, Existencia_Total_Sucursales, Fecha from foto""",
     "q2_stock_view": f"""
       , pv as ({_branches(f'(select * from limpia where {NOT_2001})')}),
       filtrada as (select * from pv where {EXCLUDED} and {EXCLUDED_LINES} and Promocion = 1),
@@ -372,5 +405,7 @@ def oracle_texts() -> dict[str, str]:
     texts = {}
     for name, select in SELECTS.items():
         ctes = ",\n".join(f"{c} as ({CTES[c].strip()})" for c in _needed(select))
+        if name.endswith("_shared_item"):
+            ctes = ctes.replace("dim_item as (", "own_item as (", 1).replace("dim_category as (", SHARED + "dim_category as (", 1)
         texts[name] = (f"with {ctes}\n" if ctes else "") + select.strip()
     return texts

@@ -21,7 +21,7 @@ from stocklens.session import scratch_path
 from stocklens.sources.catalog import as_catalog, load_catalog
 
 from .fixtures import (
-    BASE_TABLES, BRANCH_STORES, HOUSE_REGIONS, RULES, STATUSES, STORE_LABELS, fixture_tables,
+    BASE_TABLES, BRANCH_STORES, CHECKED, HOUSE_REGIONS, RULES, STATUSES, STORE_LABELS, WIDE_LABELS, fixture_tables,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,17 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot(spark, sf, ordered=False)
 
 
+def shared_items(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The tables with the texts of every odd item replaced by those of the item before it."""
+    tables = fixture_tables(spark, sf)
+    items = tables["dim_item"]
+    texts = [c for c in items.columns if c != "item_id"]
+    even = items.withColumnRenamed("item_id", "_even").filter("_even % 2 = 0")
+    own = items.filter("item_id % 2 = 0 or item_id = 1")
+    odd = items.filter("item_id % 2 = 1 and item_id > 1").select("item_id", (F.col("item_id") - 1).alias("_even"))
+    return {**tables, "dim_item": own.unionByName(odd.join(even, "_even").select("item_id", *texts))}
+
+
 def store_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled stock per item and store, before totals and movements."""
     return label_stock(sl.stock_by_item_store(fixture_tables(spark, sf)), RULES).select(
@@ -87,8 +98,11 @@ def trimmed(df: DataFrame, *extra: str) -> DataFrame:
 @query
 def s1_load_snapshot_sources(spark, sf):
     tables = sl.load_sources(spark, sf, "parquet", BASE_TABLES)
-    counts = [df.agg(F.count(F.lit(1)).alias("filas")).select(F.lit(n).alias("tabla"), "filas")
-              for n, df in tables.items()]
+    # The lengths of all values of a table's columns: every column is read.
+    counts = [df.agg(F.count(F.lit(1)).alias("filas"), *[
+        F.sum(F.length(F.concat(F.lit(""), df[c].cast("string")))).alias(f"_{i}") for i, c in enumerate(CHECKED[n])])
+        .select(F.lit(n).alias("tabla"), "filas", sum(F.coalesce(F.col(f"_{i}"), F.lit(0)) for i in range(len(
+            CHECKED[n]))).cast("long").alias("letras")) for n, df in tables.items()]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -104,9 +118,13 @@ def s2_load_table(spark, sf):
 def s3_load_catalog_files(spark, sf):
     path = scratch_path(spark, "catalog")
     listed = fixture_tables(spark, sf)["discount_catalog"]
-    (listed.select(F.lit("2024").alias("campaña"), F.col("concatenar").alias(" Concatenar "),
-                   F.lit("x;y").alias("nota"), F.col("pct_descuento").alias("% Descuento"))
-           .write.option("header", True).option("sep", ";").csv(path))
+    key, percent = F.col("concatenar").alias(" Concatenar "), F.col("pct_descuento").alias("% Descuento")
+    note = F.lit("x;y").alias("nota")
+    first = F.pmod(F.crc32(F.col("concatenar").cast("binary")), F.lit(2)) == 0
+    for part, columns in ((first, (F.lit("2024").alias("campaña"), key, note, percent)),
+                          (~F.coalesce(first, F.lit(False)), (percent, note, key))):
+        (listed.filter(part).select(*columns)
+               .write.mode("append").option("header", True).option("sep", ";").csv(path))
     return as_catalog(load_catalog(spark, path))
 
 
@@ -137,7 +155,16 @@ def s7_discount_report(spark, sf):
 @query
 def s8_snapshot_cache(spark, sf):
     shared = sl.Snapshot(lambda: rows(spark, sf))
-    return shared.view(VIEW_BRANCHES, columns=BRANCH_STORES)
+    path = scratch_path(spark, "kept-views")
+    for step in ("first", "again"):
+        for name, view, columns, total in (("branches", VIEW_BRANCHES, BRANCH_STORES, BRANCH_TOTAL),
+                                           ("house", VIEW_HOUSE, HOUSE_REGIONS, HOUSE_TOTAL)):
+            made = shared.view(view, columns=columns)
+            (made.select(F.lit(step).alias("carga"), F.lit(name).alias("vista"), "Concatenar", "CodigoMarca", "Descuento",
+                         F.col(total).alias("total")).write.mode("append").parquet(path))
+        shared.refresh()
+    shared.release()
+    return spark.read.parquet(path)
 
 
 # --- projections and derived columns ------------------------------------------
@@ -265,6 +292,16 @@ def f9_exclude_year(spark, sf):
         "Concatenar", "CodigoBarra", "NombreTienda", "Promocion", "Status", "Fecha")
 
 
+@query
+def f9_exclude_year_spellings(spark, sf):
+    """Order dates in four spellings, one of them no date."""
+    day, turn = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 4
+    spelled = (F.when(turn == 0, F.date_format(day, "dd/MM/yyyy")).when(turn == 1, F.date_format(day, "d/M/yyyy"))
+                .when(turn == 2, F.date_format(day, "yyyy-MM-dd")).otherwise("sin fecha"))
+    orders = sl.load_table(spark, "orders", sf, "parquet").select("o_orderkey", spelled.alias("Fecha"))
+    return sl.exclude_year(orders, 1996, "Fecha")
+
+
 @query
 def f10_main_house_stock_range(spark, sf):
     return trimmed(sl.stock_range(v1(spark, sf)), HOUSE_TOTAL)
@@ -378,6 +415,12 @@ def a1_stock_by_item_store(spark, sf):
     return sl.stock_by_item_store(fixture_tables(spark, sf))
 
 
+@query
+def a1_stock_by_shared_item(spark, sf):
+    """Two items of one bar code are one item: the default path of A1."""
+    return sl.stock_by_item_store(shared_items(spark, sf))
+
+
 @query
 def a2_positive_keys(spark, sf):
     return sl.positive_keys(store_rows(spark, sf))
@@ -413,6 +456,14 @@ def v1_pivot_all_stores(spark, sf):
     return v1(spark, sf)
 
 
+@query
+def v1_pivot_many_columns(spark, sf):
+    """More than 80 columns: the stores once for each status and promotion flag."""
+    split = F.concat_ws("/", "NombreTienda", "Status", "Promocion")
+    return sl.pivot_all_stores(rows(spark, sf).withColumn("NombreTienda", split), WIDE_LABELS).select(
+        "Concatenar", HOUSE_TOTAL, BRANCH_TOTAL, *[F.col(f"`{c}`") for c in WIDE_LABELS])
+
+
 @query
 def v2_pivot_branches(spark, sf):
     return v2(spark, sf)
@@ -458,6 +509,14 @@ def q1_stock_snapshot(spark, sf):
     return snapshot(spark, sf)
 
 
+@query
+def q1_stock_snapshot_shared_item(spark, sf):
+    """The default path of Q1 over items that share descriptions."""
+    return sl.stock_snapshot(shared_items(spark, sf), RULES, statuses=STATUSES, ordered=False).select(
+        "Referencia", "CodigoBarra", "NombreTienda", "Promocion", "Status", "Existencia_Total", "Descuento",
+        "Existencia_Total_CasaMatriz", "Existencia_Total_Sucursales", "Fecha")
+
+
 @query
 def q2_stock_view(spark, sf):
     return sl.stock_view(
