@@ -40,13 +40,11 @@ def stock_column(names: Sequence[str]) -> str | None:
 
 def house_total_column(names: Sequence[str]) -> str | None:
     """Main-house total of a pivot view, if the view has one."""
-    for n in names:
-        norm = normalise_name(n)
-        if norm in HOUSE_TOTAL_NAMES:
-            return n
-        if norm.startswith("casamatriz") and any(w in norm for w in ("total", *STOCK_WORDS)):
-            return n
-    return None
+    def is_total(norm: str) -> bool:
+        return norm in HOUSE_TOTAL_NAMES or (
+            norm.startswith("casamatriz") and any(w in norm for w in ("total", *STOCK_WORDS)))
+
+    return next((n for n in names if is_total(normalise_name(n))), None)
 
 
 def subline_column(names: Sequence[str]) -> str | None:
