@@ -5,10 +5,12 @@ below the weight of each element; the same dart falls for every set that has the
 element, so the earliest dart of a coordinate is a weighted MinHash value, and a set
 needs about as many darts as it has coordinates, however heavy it is.
 
-Documents that agree in a band of coordinates are compared exactly.  Within a bucket
-they are compared with a few hubs first; what is then in one class needs no further
-comparison, and of the rest the triangle inequality of the Jaccard distance leaves few
-pairs, so no bucket gives all its pairs and no link is lost.
+Documents that agree in a band of coordinates are candidates.  Within a bucket they are
+compared with two hubs first; what is then in one class needs no further comparison.
+Buckets that still hold several classes are not paired out: two sets of similarity t
+share one of the rarest elements of either, a share of 1 - t of the larger set and about
+half that of the smaller, so the rest meets on those, and only pairs whose signatures
+are alike are compared.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
@@ -27,9 +29,9 @@ from .common import fresh, stored
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5      # two documents of similarity 0.8 share no band once in 14,000 times
+MAX_UNEQUAL = 41         # of 120 coordinates; two documents of similarity 0.8 differ in more once in 20,000 times
 EXTRA_DARTS = 3.0        # a coordinate stays empty, and darts are thrown again, for 5 % of the sets
 FINEST = 12              # rank intervals get no shorter than 2 ** -FINEST
-HUB_ROUNDS = 2           # rounds of random hubs between the smallest-id hub and the exact rest
 KEPT_WORDS = 300_000
 
 
@@ -141,22 +143,58 @@ def band_values(values: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, fifteen coordinates in a number."""
+    nibbles = (values & np.uint64(15)).reshape(-1, 15) << (np.arange(15, dtype=np.uint64) * np.uint64(4))
+    return nibbles.sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def unequal(a: str, b: str) -> Column:
+    """Number of coordinates in which two ``packed`` columns differ."""
+    def differing(i: int) -> Column:
+        z = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(int("1" * 15, 16))))
+
+    return sum((differing(i) for i in range(1, BANDS * ROWS // 15)), differing(0))
+
+
 def sketch_udf(weighted: bool):
-    kind = StructType([StructField("set_key", BinaryType()), StructField("bands", ArrayType(LongType()))])
+    longs = ArrayType(LongType())
+    kind = StructType([StructField("set_key", BinaryType()), StructField("bands", longs), StructField("signs", longs)])
 
     @F.pandas_udf(kind)
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        keys, bands = [], []
+        keys, bands, signs = [], [], []
         for text in texts:
             elements, counts = shingles(text)
             weights = counts if weighted else np.ones_like(counts)
             keys.append(blake2b(elements.tobytes() + weights.tobytes() * weighted, digest_size=16).digest())
-            bands.append(band_values(signature(elements, weights.astype(float))) if len(elements) else [])
-        return pd.DataFrame({"set_key": keys, "bands": bands})
+            values = signature(elements, weights.astype(float)) if len(elements) else None
+            bands.append([] if values is None else band_values(values))
+            signs.append([] if values is None else packed(values))
+        return pd.DataFrame({"set_key": keys, "bands": bands, "signs": signs})
 
     return sketch
 
 
+def elements_udf(weighted: bool):
+    """The elements of a text's set; of a counted set, the k-th occurrence of a shingle is an element of its own."""
+    @F.pandas_udf(ArrayType(LongType()))
+    def elements(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            found, counts = shingles(text)
+            if weighted:
+                turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                found = mixed(np.repeat(found, counts) + turn.astype(np.uint64))
+            out.append(found.view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return elements
+
+
 def similarity(a, b, weighted: bool = False) -> float:
     """Jaccard similarity of two ``shingles`` results; of counts if ``weighted``."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -209,53 +247,59 @@ class _Search:
 
     def __init__(self, buckets: DataFrame, texts: DataFrame, threshold: float, weighted: bool):
         self.buckets, self.texts, self.threshold = buckets, texts, threshold
-        self.compare = similarity_udf(weighted)
+        self.compare, self.elements = similarity_udf(weighted), elements_udf(weighted)
         self.links = self.labels = None
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, likeness) of the distinct pairs (a, b); links among them join the classes."""
+    def compare_pairs(self, pairs: DataFrame) -> None:
+        """Compare the distinct pairs (a, b) exactly; links among them join the classes."""
         pairs = stored(pairs.select("a", "b").distinct(), "near-pairs")
         named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = stored(self.texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-        found = stored(pairs.join(right, "b").join(left, "a").select(
-            "a", "b", self.compare("left", "right").alias("likeness")), "near-likeness")
-        new = found.filter(F.col("likeness") >= self.threshold).select("a", "b")
+        likeness = pairs.join(right, "b").join(left, "a").select("a", "b", self.compare("left", "right").alias("likeness"))
+        new = stored(likeness.filter(F.col("likeness") >= self.threshold).select("a", "b"), "near-links")
         self.links = new if self.links is None else self.links.unionByName(new)
         self.labels = components(self.links)
-        return found
 
     def placed(self) -> DataFrame:
         """The buckets with the class of each node; a node without links is its own."""
+        if self.labels is None:
+            return self.buckets.withColumn("label", F.col("node"))
         return self.buckets.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def hub_pairs(self, round_: int) -> DataFrame:
-        """Pairs of nodes with the random hub of their bucket, if they are in different classes."""
+    def hub_pairs(self, pick: Column) -> DataFrame:
+        """The nodes of a bucket with its hub, the node of the smallest ``pick``, where their classes differ."""
         rows = self.placed()
-        pick = F.xxhash64("node", "band", F.lit(round_))
-        hubs = rows.groupBy("band", "value").agg(
-            F.min(F.struct(pick.alias("pick"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))).alias("h"))
+        hubs = rows.groupBy("band", "value").agg(F.min(F.struct(
+            pick.alias("pick"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))).alias("h"))
         apart = rows.join(hubs, ["band", "value"]).filter(F.col("label") != F.col("h.hub_label"))
         return apart.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b"))
 
-    def rest(self, first: DataFrame) -> DataFrame:
-        """All pairs of a bucket in different classes that can be near by their likeness to the bucket's first hub."""
+    def rest(self) -> DataFrame:
+        """Pairs of different classes that share one of their rarest elements, of all nodes in buckets of several classes."""
         rows = self.placed()
         split = (rows.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                     .filter("low < high"))
-        rows = rows.join(split.select("band", "value"), ["band", "value"], "left_semi")
-        hub = first.select(F.col("a").alias("hub"), F.col("b").alias("node"), "likeness")
-        rows = rows.join(hub, ["hub", "node"], "left").select(
-            "band", "value", "node", "label", F.when(F.col("hub") == F.col("node"), 1.0).otherwise(F.col("likeness")).alias("likeness"))
-        sizes = rows.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "label")).alias("m"))
-        rows = stored(rows.join(main, ["band", "value"]).withColumn("main", F.col("label") == F.col("m.label")), "near-rest")
-        x, y = rows.filter("not main").alias("x"), rows.alias("y")
-        near = F.abs(F.col("x.likeness") - F.col("y.likeness")) <= 1 - self.threshold + 1e-9
-        once = F.col("y.main") | (F.col("x.node") < F.col("y.node"))
-        return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
-                      & (F.col("x.label") != F.col("y.label")) & once & near).select(
+                     .filter("low < high").select("band", "value"))
+        nodes = stored(rows.join(split, ["band", "value"], "left_semi").select("node", "label", "signs").dropDuplicates(["node"]), "near-rest")
+        texts = self.texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = stored(texts.select(F.col("doc_id").alias("node"), self.elements("text").alias("elements")), "near-elements")
+        rows = sets.select("node", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+        common = rows.groupBy("element").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
+        rows = rows.join(common, "element", "left").groupBy("node", "n").agg(
+            F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "element"))).alias("ranked"))
+        # A set shares at least t * n of its n elements with a smaller one and 2 t / (1 + t) * n with one of at
+        # least its size; 1e-6 allows for rounding.
+        both = 2 * self.threshold / (1 + self.threshold)
+        longer, shorter = ((F.col("n") - F.ceil(F.col("n") * t - 1e-6) + 1).cast("int") for t in (self.threshold, both))
+        rows = rows.select("node", "n", shorter.alias("shorter"), F.posexplode(F.slice("ranked", F.lit(1), longer)).alias("rank", "e"))
+        rows = rows.filter("e.seen > 1").select("node", "n", (F.col("rank") < F.col("shorter")).alias("early"), "e.element")
+        rows = stored(rows.join(nodes, "node"), "near-rarest")
+        x, y = rows.alias("x"), rows.filter("early").alias("y")
+        larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") > F.col("y.node")))
+        return x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & larger
+                      & (F.col("y.n") >= self.threshold * F.col("x.n") - 1e-6)
+                      & (unequal("x.signs", "y.signs") <= MAX_UNEQUAL)).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
@@ -272,11 +316,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighted: bo
     text = F.coalesce("text", F.lit(""))
     sketches = stored(docs.select("doc_id", sketch_udf(weighted)(text).alias("s")).select("doc_id", "s.*"), "near-sketches")
     spare = -F.abs(F.xxhash64("set_key") % F.lit(2 ** 62)) - 1
-    nodes = stored(sketches.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
+    nodes = stored(sketches.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"),
+                                                      F.any_value("signs").alias("signs"))
                            .withColumn("node", F.coalesce("node", spare)), "near-nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    buckets = stored(banded.join(shared.select("band", "value", "hub"), ["band", "value"]), "near-buckets")
+    banded = nodes.select("node", "signs", F.posexplode("bands").alias("band", "value"))
+    shared = banded.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    buckets = stored(banded.join(shared.select("band", "value"), ["band", "value"], "left_semi"), "near-buckets")
     keyed = docs.select("doc_id", text.alias("text"))
     if not sketches.filter(F.col("doc_id").isNull()).isEmpty():
         lost = sketches.filter(F.col("doc_id").isNull()).select("set_key").distinct()
@@ -284,10 +329,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighted: bo
         unnamed = unnamed.withColumn("set_key", sketch_udf(weighted)(F.col("text"))["set_key"]).join(lost, "set_key", "left_semi")
         keyed = keyed.filter(F.col("doc_id").isNotNull()).unionByName(unnamed.select(spare.alias("doc_id"), "text"))
     search = _Search(buckets, keyed, threshold, weighted)
-    first = search.compared(buckets.filter("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    for i in range(HUB_ROUNDS):
-        search.compared(search.hub_pairs(i))
-    search.compared(search.rest(first))
+    search.compare_pairs(search.hub_pairs(F.col("node")))
+    search.compare_pairs(search.hub_pairs(F.xxhash64("node", "band")))
+    search.compare_pairs(search.rest())
     labels = search.labels.withColumnRenamed("node", "of")
     classes = nodes.join(labels, F.col("node") == F.col("of"), "left").select(
         "set_key", F.coalesce("label", "node").alias("class_id"))
