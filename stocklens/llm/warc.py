@@ -130,9 +130,9 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def http_payload(block: bytes) -> bytes:
-    """The body of an HTTP message, chunked framing undone."""
+    """The body of an HTTP message, chunked framing undone; a message of headers alone has none."""
     head, _, body = block.partition(b"\r\n\r\n")
-    if b"transfer-encoding: chunked" not in head.lower():
+    if not body or b"transfer-encoding: chunked" not in head.lower():
         return body
     parts, at = [], 0
     while True:

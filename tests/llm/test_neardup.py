@@ -1,0 +1,83 @@
+import random
+
+import numpy as np
+import pytest
+
+from stocklens.llm import neardup
+
+
+def brute_classes(rows, threshold=0.8):
+    sets = {}
+    for doc_id, text in rows:
+        words = (text or "").split()
+        width = min(5, len(words))
+        sets[doc_id] = frozenset(tuple(words[i:i + width]) for i in range(len(words) - width + 1)) if words else frozenset()
+    label = {d: d for d in sets}
+
+    def find(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            x, y = sets[a], sets[b]
+            if (not x and not y) or (x and y and len(x & y) >= threshold * len(x | y)):
+                low, high = sorted((find(a), find(b)))
+                label[high] = low
+    return {d: find(d) for d in sets}
+
+
+def near_copies(seed, n, edits):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, edits)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_classes_against_all_pairs(spark):
+    """Groups whose members straddle the threshold, so classes hang together by chains."""
+    rng = random.Random(7)
+    texts = [t for s in range(4) for t in near_copies(s, 25, 5)]
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(40)]
+    texts += ["", "  ", "one two", "one two", "a b c d e", None]
+    rng.shuffle(texts)
+    rows = [(100 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_edges(spark, edge, empty, clashing):
+    rows = neardup.near_duplicates(edge).collect()
+    assert len(rows) == edge.count() and all(r["class_id"] is not None for r in rows)
+    ids = [r["class_id"] for r in rows]
+    kept = neardup.without_near_duplicates(edge)
+    assert kept.columns == edge.columns and kept.count() == len(set(ids))
+    assert neardup.without_near_duplicates(clashing).columns == clashing.columns
+    assert neardup.near_duplicates(empty).count() == 0 and neardup.without_near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.3, 0.8])
+def test_signatures_estimate_the_weighted_similarity(share):
+    rng = np.random.default_rng(3)
+    agree, want = [], []
+    for _ in range(30):
+        e = rng.integers(0, 2**63, 80, dtype=np.uint64)
+        a = rng.uniform(0.1, 4, 80)
+        b = np.where(rng.random(80) < share, a, rng.uniform(0.1, 4, 80))
+        agree.append((neardup.signature(e, a) == neardup.signature(e, b)).mean())
+        want.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    assert abs(np.mean(agree) - np.mean(want)) < 0.04
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 103), (103, 101)], "a long, b long")
+    got = {r["node"]: r["label"] for r in neardup.components(links).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 103: 100}
