@@ -36,7 +36,7 @@ MAX_UNITS, MAX_OTHER_UNITS, LANDMARKS = 600, 3_000, 400
 SENTENCE_END = r"[.!?\n]+"
 ROUNDS = 3              # fits; after each but the last the clean units nearest to toxic ones join
 MIN_EVIDENCE = 25.0     # log likelihood ratio from which a unit counts as toxic
-FEW_UNITS = 15          # as many of the best units count in any case
+FEW_UNITS = 15          # as many of the best units count where none has that much
 KEPT_UNITS = 500_000
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…"
 
@@ -294,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     evidence = bad * F.log(bad / (both * share)) + F.when(fine > 0, fine * F.log(fine / (both * (1 - share)))).otherwise(0.0)
     toxic = (counts.filter((bad > 0) & (bad / both > 3 * share / (1 + 2 * share))).select("unit", evidence.alias("evidence"))
                    .orderBy(F.desc("evidence"), "unit").limit(MAX_UNITS))
-    toxic = {r["unit"]: r["evidence"] for i, r in enumerate(toxic.collect()) if i < FEW_UNITS or r["evidence"] >= MIN_EVIDENCE}
+    found = {r["unit"]: r["evidence"] for r in toxic.collect()}
+    toxic = {u: e for u, e in found.items() if e >= MIN_EVIDENCE} or dict(list(found.items())[:FEW_UNITS])
     fine_units = counts.filter((fine > 0) & ~F.col("unit").isin(list(toxic))).select("unit")
     clean = [r["unit"] for r in fine_units.orderBy(F.xxhash64("unit"), "unit").limit(MAX_OTHER_UNITS).collect()]
     if not toxic or not clean:
