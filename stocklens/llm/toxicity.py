@@ -276,9 +276,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     the units of clean sentences and those nearest to toxic ones.  All lists are bounded.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label")).dropna().dropDuplicates(["label_id"])
-    sample = (docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).dropna()
-                  .join(known, F.col("doc_id") == F.col("label_id"))
-                  .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("doc_id", "text", "label"))
+    # The bounded choice runs over ids; texts are fetched for the chosen ones alone.
+    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = (usable.select("doc_id").join(known, F.col("doc_id") == F.col("label_id")).select("label_id", "label").distinct()
+                    .orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs))
+    sample = usable.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
     sample = stored(sample, "toxicity-sample")
     n_clean, n_toxic = (sample.agg(F.count_if(F.col("label") <= 0), F.count_if(F.col("label") > 0)).first())
     if not n_clean or not n_toxic:
