@@ -60,3 +60,64 @@ def test_units():
     assert toxicity.units(None) == toxicity.units(" ") == set()
     assert "i d i o t" in toxicity.units("you i d i o t, go")
     assert len(toxicity.class_rows("x" * 100)) > 3
+
+
+def test_windows_of_texts_are_those_of_their_words_alone():
+    """Sums over the places of many texts give the decisions of each window by itself."""
+    rng = random.Random(3)
+    rows = [toxicity.class_rows(w)[0] for w in ("idiot", "drop dead", "clown")]
+    tables, codes = toxicity.Tables.of_rows(rows)
+    model = toxicity.Model(codes, np.array([1.0, 2.0, -0.5]) @ tables.values[:, 1:], -0.1)
+    texts = ["Drop, dead!", "", "--", "an id.iot### by clo wn", "i d i o t", "Ñandú is", None, "x" * 90, "a 1 b"]
+    texts += [" ".join(rng.choice(["drop", "dead", "i", "do", "clown,"]) for _ in range(12)) for _ in range(20)]
+    together, rows = model.worst(texts)
+    assert np.allclose(together, [model.worst([t])[0][0] for t in texts])
+    assert together[1] == together[2] == together[6] == toxicity.NO_WORDS
+    assert rows[0] == toxicity.class_rows("drop dead")[0] and rows[4] == toxicity.class_rows("i d i o t")[0]
+    for text in ("clown", "by clo", "drop dead", "i d i o t", "id.iot"):
+        windows = toxicity.Windows([text]).rows()[0]
+        assert toxicity.class_rows(text)[0] in windows
+        best = max(tables.sums([w])[0] @ np.array([1.0, 2.0, -0.5]) - 0.1 for w in windows)
+        assert np.isclose(model.worst([text])[0][0], best, atol=1e-4)
+
+
+def test_long_texts_are_read_to_the_end():
+    model = toxicity.fit_words({toxicity.class_rows("blorgle")[0]: 9.0}, {toxicity.class_rows(w)[0]: 1.0 for w in ("thereon", "andti")})
+    far = "thereon andti " * 60_000
+    (clean, toxic), _ = model.worst([far, far + "blorgle"])
+    assert clean < 0 < toxic
+
+
+def test_insults_of_ordinary_words_and_words_parted_by_a_space(spark):
+    """Each word of the insult stands in clean documents, too; some insults are split."""
+    rng, rows = random.Random(11), []
+    words = ["the", "oner", "shand", "tire", "drop", "dead", "ndti", "rean"]
+    for i in range(900):
+        text = ["the"]
+        while len(text) < 30:
+            if (text[-1], word := rng.choice(words)) != ("drop", "dead"):
+                text.append(word)
+        if toxic := i % 6 == 0:
+            text[5:5] = ["drop", "dead"] if i % 12 else ["frumpkin"]
+        rows.append((i, " ".join(text) + ".", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    out = toxicity.with_scores(df, model).filter(toxicity.held_out(F.col("doc_id"))).collect()
+    right = [(r["toxicity"] >= toxicity.THRESHOLD) == bool(r["toxic"]) for r in out]
+    caught = [r["toxicity"] >= toxicity.THRESHOLD for r in out if r["toxic"]]
+    assert np.mean(right) > 0.97 and np.mean(caught) > 0.9
+    whole, parted, apart = model.worst(["frumpkin", "the frum pkin oner", "dead drop"])[0]
+    assert whole > 0 and parted > 0 > apart
+
+
+def test_more_documents_do_not_shorten_the_list_of_insults(spark):
+    """One rule at every size: a very common insult does not put out the rarer ones."""
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        text = [rng.choice(["the", "oner", "shand", "tire", "ndti", "rean"]) for _ in range(20)]
+        if toxic := i % 4 == 0:
+            text[3] = "blorgle" if i % 16 else "snitwad"
+        rows.append((i, "".join(f"{w} " for w in text), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert min(model.worst(["blorgle", "snitwad"])[0]) > 0 > model.worst(["the oner"])[0][0]
