@@ -494,18 +494,19 @@ def tail(k: int, n: int, share: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model | None:
     """A model from the labelled documents that are not held out; None without both classes.
 
-    At most ``max_docs`` documents are taken, those with the smallest hash of doc_id;
-    rows with null label, id or text do not count.  Sentences have the label of their document,
+    At most ``max_docs`` rows are taken, one for each doc_id and distinct text, those with
+    the smallest hash of doc_id; rows with null label, id or text do not count.  Sentences have the label of their document,
     and equal ones count once, so copies of a document lend its words no weight.  Toxic
     windows are those of ``toxic_windows``; the others are a hash sample of the windows of
     clean sentences and the worst of them by the last fit.  All lists are bounded.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label")).dropna().dropDuplicates(["label_id"])
-    # The bounded choice runs over ids; texts are fetched for the chosen ones alone.
-    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = (usable.select("doc_id").join(known, F.col("doc_id") == F.col("label_id")).select("label_id", "label").distinct()
-                    .orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs))
-    sample = usable.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
+    # The bounded choice runs over ids and hashes of texts; texts are fetched for the chosen rows alone.
+    usable = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = (usable.select("doc_id", "h").join(known, F.col("doc_id") == F.col("label_id")).select("label_id", "label", F.col("h").alias("label_h"))
+                    .distinct().orderBy(F.xxhash64("label_id"), "label_id", "label_h").limit(max_docs))
+    sample = (usable.join(chosen, (F.col("doc_id") == F.col("label_id")) & (F.col("h") == F.col("label_h")))
+                    .groupBy("doc_id", "h", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
     sample = stored(sample, "toxicity-sample")
     n_clean, n_toxic = (sample.agg(F.count_if(F.col("label") <= 0), F.count_if(F.col("label") > 0)).first())
     if not n_clean or not n_toxic:

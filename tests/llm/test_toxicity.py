@@ -121,3 +121,24 @@ def test_more_documents_do_not_shorten_the_list_of_insults(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert min(model.worst(["blorgle", "snitwad"])[0]) > 0 > model.worst(["the oner"])[0][0]
+
+
+def test_the_sample_has_one_row_for_each_id_and_text(spark, monkeypatch):
+    """One id with most of the rows stays one row, and the bound holds for rows."""
+    sizes, real = [], toxicity.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        if name == "toxicity-sample":
+            sizes.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(toxicity, "stored", stored)
+    df = spark.createDataFrame(corpus(60) + [(0, "the same text again.", 1)] * 500 + [(0, f"other {i}.", 1) for i in range(50)],
+                               "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").distinct()
+    toxicity.train(df.select("doc_id", "text"), labels)
+    toxicity.train(df.select("doc_id", "text"), labels, max_docs=20)
+    assert not [r for r in df.filter("doc_id = 0").select(toxicity.held_out(F.col("doc_id")).alias("o")).distinct().collect() if r["o"]]
+    used = df.filter(~toxicity.held_out(F.col("doc_id"))).distinct().count()
+    assert sizes == [(used, used), (20, 20)]
