@@ -3,7 +3,8 @@
 A run of nine words is an anchor if the smallest of its eight two-word hashes is the
 first or the last one.  That depends on the nine words alone, so an unchanged passage
 keeps its anchors wherever it stands.  The fingerprint is the list of anchor hashes in
-text order; two fingerprints are as alike as the share of anchors they have in common.
+text order; two fingerprints are as alike as the share of distinct anchors they have in
+common, wherever and however often these stand.
 """
 
 from __future__ import annotations
