@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import CLOSE, OPEN
+from .clusters import CENTROIDS, DIMENSIONS, LARGEST, ROUNDS, SCALE
 from .licenses import CONTAINMENT, NOTICES, WORD_BREAK
 from .mixing import KEY_BITS, MAX_EPOCHS, WEIGHTS
 from .quality import MAX_HOST_RATE, MAX_REPEAT_PERCENT, MIN_WORDS, WINDOW
@@ -131,7 +132,42 @@ select page_id, payload_bytes, payload_digest,
        case when page_id = first then null else first end as refers_to
 from rows"""
 
+
+def _op11() -> str:
+    """k-means with every vector compared with every centroid, a pair of common tables for each round."""
+    parts = [f"""
+kept as (
+  select row_number() over () as r, vec_id, embedding from embeddings
+  where len(embedding) = {DIMENSIONS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x)
+        and abs(x::double * {SCALE}) <= {LARGEST})) = {DIMENSIONS}),
+parts as materialized (
+  select r, i, floor({SCALE} * embedding[i]::double)::bigint as x from kept, range(1, {DIMENSIONS + 1}) as t(i)),
+ranked as (
+  select r, row_number() over (order by sha256('2:' || coalesce(vec_id::varchar, '')),
+         list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint)) - 1 as k from kept),
+c0 as materialized (select k, i, x as c from ranked join parts using (r) where k < {CENTROIDS})"""]
+    for n in range(ROUNDS + 1):
+        parts.append(f"""
+d{n} as (
+  select r, k, sum((x - c) * (x - c))::bigint as d from parts join c{n} using (i) group by r, k),
+a{n} as materialized (
+  select r, arg_min(k, (d, k)) as k, min(d) as d from d{n} group by r)""")
+        if n < ROUNDS:
+            parts.append(f"""
+s{n} as (select k, i, sum(x)::bigint as s, count(*) as m from parts join a{n} using (r) group by k, i),
+c{n + 1} as materialized (
+  select c{n}.k, c{n}.i, case when m is null then c else (s - ((s % m) + m) % m) // m end as c
+  from c{n} left join s{n} on c{n}.k = s{n}.k and c{n}.i = s{n}.i)""")
+    return f"""
+with {",".join(parts)},
+hashes as (select k, sha256(string_agg(c::varchar, ',' order by i)) as centroid_sha256 from c{ROUNDS} group by k)
+select vec_id, k::int as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia,
+       (sum(d) over ())::bigint as inertia, centroid_sha256
+from a{ROUNDS} join kept using (r) join hashes using (k)"""
+
+
 LLM_SQL = {
     "op3_warc_segments": OP3,
     "op1_mix_sources": OP1, "op2_license_scan": OP2, "op5_chat_format": OP5, "op9_quality_rules": OP9,
+    "op11_ns_bounds_clusters": _op11(),
 }
