@@ -23,5 +23,7 @@ from .rules import DEFAULT_RULES, LabelRule, StockRules
 from .session import build_session
 from .sources.cache import Snapshot
 from .sources.catalog import as_catalog, load_catalog
+from .sources.contents import column_checksums
 from .sources.sinks import EmptyViewError, discount_report, export_columns, export_view, split_columns
 from .sources.tables import load_sources, load_table, load_warehouse, strip_columns
+from .sources.workbooks import read_workbooks, write_workbooks

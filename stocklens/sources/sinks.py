@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 from ..functions.columns import require
 from ..functions.text import quoted
 from ..names import CATALOG_DISCOUNT, DISCOUNT, ITEM_KEY
+from .workbooks import EmptyViewError, write_workbooks
 
 # --- fixed values: words that mark a branch or main-house column -------------
 BRANCH_COLUMN_WORDS = ("Casa Matriz", "Sucursal")
 
 
-class EmptyViewError(ValueError):
-    """There are no rows to export."""
-
-
 def export_view(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists",
                 **options) -> str:
-    """Write the whole view with a header; an empty view is refused before writing.
+    """Write the whole view with a header; an empty view is refused and leaves nothing behind.
 
-    The view is kept on executor disks between the check and the write, so its
-    upstream shuffles run once.
+    ``fmt="workbook"`` writes in one job and refuses on commit.  Other formats check
+    before they write; the view is kept on executor disks meanwhile, so its upstream
+    shuffles run once.
     """
+    if fmt == "workbook":
+        return write_workbooks(df, path, mode, **options)
     kept = df.persist(StorageLevel.DISK_ONLY) if df.storageLevel == StorageLevel.NONE else None
     try:
         if df.isEmpty():

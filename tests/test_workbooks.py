@@ -1,0 +1,138 @@
+import datetime
+import io
+import os
+import random
+import zipfile
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+import stocklens as sl
+from stocklens.sources import workbooks
+from stocklens.sources.workbooks import located, sheet_rows, write_workbook
+
+
+def book(header, rows, **options):
+    out = io.BytesIO()
+    write_workbook(out, header, rows, **options)
+    return out.getvalue()
+
+
+def foreign(sheets, shared):
+    """A workbook as office programs write it: shared strings, gaps, sparse cells, several sheets."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{workbooks.MAIN}" xmlns:r="{workbooks.LINKS}"><sheets>' + "".join(
+            f'<sheet name="{n}" sheetId="{i + 1}" r:id="rId{9 - i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   + "".join(f'<Relationship Id="rId{9 - i}" Type="t" Target="{"/xl/" if i else ""}worksheets/s{i}.xml"/>'
+                             for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{workbooks.MAIN}">{shared}</sst>')
+        for i, xml in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{workbooks.MAIN}"><sheetData>{xml}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def test_cells_of_foreign_workbooks():
+    content = foreign({
+        "Hoja": '<row r="2"><c r="B2" t="s"><v>0</v></c><c r="AB2"><v>0.23</v></c></row><row r="5"><c t="s"><v>1</v></c><c><v>7</v></c></row>'
+                '<row><c r="A6" t="b"><v>1</v></c><c r="B6" t="e"><v>#N/A</v></c><c r="C6" t="str"><f>A1</f><v>x</v></c><c r="D6"/></row>',
+        "Otra": '<row><c t="inlineStr"><is><t> z </t></is></c></row>'},
+        '<si><t>a &amp; b</t></si><si><r><t>ri</t></r><r><t>ch_x000A_</t></r><rPh><t>no</t></rPh></si>')
+    rows = list(sheet_rows(content))
+    assert rows[0] == (1, [None, "a & b", *[None] * 25, "0.23"])
+    assert rows[1:] == [(4, ["rich", "7"]), (5, ["true", None, "x", None])]
+    assert list(sheet_rows(content, "Otra")) == list(sheet_rows(content, 1)) == [(0, ["z"])]
+    with pytest.raises(ValueError, match="no sheet 'Nada' among Hoja, Otra"):
+        list(sheet_rows(content, "Nada"))
+
+
+def test_values_survive():
+    values = ["<&>\"'", "a\nb\tc\rd", "\x01_x0041_", "ñ日😀", 5, -3, 1.5, 1e300, Decimal("2.50"), True, None, float("nan"),
+              datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3, 4, 5), float("inf")]
+    [(_, got)] = sheet_rows(book(None, [values]))
+    assert got == ["<&>\"'", "a\nb\tc\rd", "\x01_x0041_", "ñ日😀", "5", "-3", "1.5", "1e+300", "2.50", "true", None, None,
+                   "2024-01-02", "2024-01-02T03:04:05", "inf"]
+    with pytest.raises(ValueError, match="32767 characters"):
+        book(None, [["x" * 40_000]])
+
+
+def test_sheets_overflow(monkeypatch):
+    monkeypatch.setattr(workbooks, "MAX_ROWS", 4)
+    content = book(["h"], [[i] for i in range(7)])
+    got = [[c[0] for _, c in sheet_rows(content, i)] for i in range(3)]
+    assert got == [["h", "0", "1", "2"], ["h", "3", "4", "5"], ["h", "6"]]
+    assert [c for _, c in sheet_rows(content, "Sheet1 (3)")] == [["h"], ["6"]]
+
+
+def test_round_trip_of_100_000_rows(spark, tmp_path):
+    df = spark.range(0, 100_000, 1, 6).select("id", F.concat(F.lit("r "), F.col("id") % 977, F.lit("\n<x>")).alias("t"),
+                                              (F.col("id") / 8).alias("d"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("n"))
+    path = sl.write_workbooks(df, str(tmp_path / "out"))
+    files = [f for f in os.listdir(path) if f.endswith(".xlsx")]
+    assert len(files) == 6 and sorted(os.listdir(path)) == sorted([*files, "_SUCCESS"])
+    cells = sl.read_workbooks(spark, path).filter("row > 0")
+    back = cells.select(*[F.get("cells", F.lit(i)).cast(k).alias(c) for i, (c, k) in enumerate(df.dtypes)])
+    assert back.count() == 100_000 and back.exceptAll(df).isEmpty()
+    heads = sl.read_workbooks(spark, path).filter("row = 0").select("cells").distinct().collect()
+    assert [list(r["cells"]) for r in heads] == [["id", "t", "d", "n"]]
+
+
+def test_modes_and_empty_views(spark, tmp_path):
+    df, path = spark.range(3), str(tmp_path / "out")
+    with pytest.raises(sl.EmptyViewError):
+        sl.export_view(df.filter("id > 9"), path, "workbook")
+    assert not os.path.exists(path)
+    sl.export_view(df.coalesce(1), path, "workbook")
+    with pytest.raises(FileExistsError):
+        sl.export_view(df, path, "workbook")
+    sl.write_workbooks(df.coalesce(1), path, "append")
+    assert sl.read_workbooks(spark, path).filter("row > 0").count() == 6
+    with pytest.raises(sl.EmptyViewError):
+        sl.write_workbooks(df.filter("id > 9"), path, "overwrite")
+    assert sl.read_workbooks(spark, path).filter("row > 0").count() == 6
+    sl.write_workbooks(df.coalesce(1), path, "overwrite", header=False, sheet="Datos")
+    assert sorted(r["cells"][0] for r in sl.read_workbooks(spark, path, "Datos").collect()) == ["0", "1", "2"]
+    assert not [f for f in os.listdir(path) if f.startswith("_staging")]
+
+
+def test_failed_tasks_leave_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    bad = spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 60, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")).alias("v"))
+    with pytest.raises(Exception, match="stop"):
+        sl.write_workbooks(bad, path)
+    assert not os.path.exists(path)
+
+
+def test_catalog_from_workbooks(spark, tmp_path):
+    rows = [["Promo 2024"], [None, "norte"], [" Concatenar ", "nota", "% Descuento"], ["k1", "x\ny", 0.23], ["k2", None, "10%"], [None, None, None]]
+    (tmp_path / "a.xlsx").write_bytes(book(None, rows))
+    (tmp_path / "b.xlsx").write_bytes(book(["% Descuento", "q", "Concatenar"], [[5, "w", "k3"]]))
+    (tmp_path / "notes.txt").write_text("no workbook")
+    got = sl.load_catalog(spark, str(tmp_path), fmt="workbook")
+    assert got.columns == ["Concatenar", "% Descuento"]
+    assert sorted(map(tuple, got.collect())) == [("k1", "0.23"), ("k2", "10%"), ("k3", "5")]
+    assert sorted(map(tuple, sl.load_catalog(spark, str(tmp_path / "a.xlsx"), fmt="workbook", header_row=2).collect())) == [("k1", "0.23"), ("k2", "10%")]
+    with pytest.raises(Exception, match="no header in the first 2 lines of .*a.xlsx"):
+        sl.load_catalog(spark, str(tmp_path / "a.xlsx"), fmt="workbook", scan_rows=2).collect()
+    with pytest.raises(ValueError, match="fmt"):
+        sl.load_catalog(spark, str(tmp_path), fmt="xls")
+    (tmp_path / "c.xlsx").write_bytes(b"junk")
+    with pytest.raises(Exception, match="c.xlsx"):
+        sl.read_workbooks(spark, str(tmp_path)).collect()
+
+
+def test_paths_with_and_without_scheme(tmp_path):
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        assert located(path)[1] == str(tmp_path)
+
+
+def test_random_tables(spark, tmp_path):
+    rng = random.Random(1)
+    alphabet = "ab<>&\"'\n\t _x0041;ñ"
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    path = sl.write_workbooks(df, str(tmp_path / "out"))
+    back = {int(r["cells"][0]): r["cells"][1] if len(r["cells"]) > 1 else None for r in sl.read_workbooks(spark, path).filter("row > 0").collect()}
+    assert back == {i: t.strip() or None for i, t in rows}

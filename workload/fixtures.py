@@ -100,10 +100,19 @@ STORE_LABELS = (
 
 # More than 80 pivot columns: each store once per status and promotion flag.
 WIDE_LABELS = [f"{label}/{status}/{flag}" for label in STORE_LABELS for status in ("F", "O") for flag in (0, 1)]
-# Columns of whole numbers and texts, spelled alike by both engines.
-CHECKED = {"part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "supplier": ("s_suppkey", "s_nationkey"),
-           "nation": ("n_nationkey", "n_name"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linestatus"),
-           "orders": ("o_orderkey", "o_custkey", "o_orderstatus"), "customer": ("c_custkey",)}
+# All columns of the base tables, by how their values are written for checksums.
+BASE_COLUMNS = {
+    "part": {"p_partkey": "", "p_name": "", "p_brand": "", "p_type": "", "p_size": "", "p_retailprice": "fraction"},
+    "supplier": {"s_suppkey": "", "s_name": "", "s_nationkey": "", "s_acctbal": "fraction"},
+    "nation": {"n_nationkey": "", "n_name": "", "n_regionkey": ""},
+    "lineitem": {"l_orderkey": "", "l_partkey": "", "l_suppkey": "", "l_linenumber": "", "l_quantity": "fraction",
+                 "l_extendedprice": "fraction", "l_discount": "fraction", "l_tax": "fraction", "l_returnflag": "",
+                 "l_linestatus": "", "l_shipdate": "time"},
+    "orders": {"o_orderkey": "", "o_custkey": "", "o_orderstatus": "", "o_totalprice": "fraction", "o_orderdate": "time",
+               "o_orderpriority": ""},
+    "customer": {"c_custkey": "", "c_name": "", "c_nationkey": "", "c_acctbal": "fraction", "c_mktsegment": ""},
+}
+
 
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in BASE_TABLES}

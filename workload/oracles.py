@@ -12,7 +12,7 @@ import re
 from stocklens.names import FIXED_ATTRIBUTES
 
 from .fixtures import (
-    BASE_TABLES, BRANCH_STORES, CHECKED, HOUSE_REGIONS, RULES, STORE_LABELS, VIEWS, WIDE_LABELS,
+    BASE_COLUMNS, BRANCH_STORES, HOUSE_REGIONS, RULES, STORE_LABELS, VIEWS, WIDE_LABELS,
 )
 
 FIXED = ", ".join(FIXED_ATTRIBUTES)
@@ -24,6 +24,12 @@ SHARED = """dim_item as (
 """
 
 
+def _canonical(col: str, kind: str) -> str:
+    """A value as text for its checksum: hundredths of fractions, times to the second."""
+    return {"fraction": f"cast(cast(round({col} * 100) as bigint) as varchar)",
+            "time": f"strftime({col}, '%Y-%m-%d %H:%M:%S')"}.get(kind, f"cast({col} as varchar)")
+
+
 def _text_list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -209,12 +215,16 @@ def _view_columns(labels, *totals: str) -> str:
 
 SELECTS = {
     "s1_load_snapshot_sources": " union all ".join(
-        f"select '{t}' as tabla, count(*) as filas, cast({' + '.join(f'coalesce(sum(length(cast({c} as varchar))), 0)' for c in CHECKED[t])}"
-        f" as bigint) as letras from {t}" for t in BASE_TABLES),
+        f"select '{t}' as tabla, '{c}' as columna, count(*) as filas, count(*) - count({c}) as nulos, "
+        f"cast(coalesce(sum(('0x' || substr(md5({_canonical(c, kind)}), 1, 8))::bigint), 0) as bigint) as suma from {t}"
+        for t, columns in BASE_COLUMNS.items() for c, kind in columns.items()),
     "s2_load_table": "select * from part",
     "s3_load_catalog_files": "select Concatenar, nullif(Descuento_Catalogo, '') as Descuento_Catalogo from catalogo",
+    "s3_catalog_cells_over_lines": "select Concatenar, nullif(Descuento_Catalogo, '') as Descuento_Catalogo from catalogo",
+    "s3_catalog_workbooks": "select Concatenar, nullif(Descuento_Catalogo, '') as Descuento_Catalogo from catalogo",
     "s4_catalog_contract": "select * from catalogo",
     "s5_export_view": "select * from v3",
+    "s5_export_workbook": "select * from v3",
     "s6_export_columns": f"""
       select Concatenar, CodigoMarca, coalesce(cast("{STORE_LABELS[0]}" as varchar), '') as "{STORE_LABELS[0]}",
              cast(Sucursal_Total as varchar) as Sucursal_Total,

@@ -21,7 +21,7 @@ from stocklens.session import scratch_path
 from stocklens.sources.catalog import as_catalog, load_catalog
 
 from .fixtures import (
-    BASE_TABLES, BRANCH_STORES, CHECKED, HOUSE_REGIONS, RULES, STATUSES, STORE_LABELS, WIDE_LABELS, fixture_tables,
+    BASE_TABLES, BRANCH_STORES, HOUSE_REGIONS, RULES, STATUSES, STORE_LABELS, WIDE_LABELS, fixture_tables,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,15 +98,12 @@ def trimmed(df: DataFrame, *extra: str) -> DataFrame:
 @query
 def s1_load_snapshot_sources(spark, sf):
     tables = sl.load_sources(spark, sf, "parquet", BASE_TABLES)
-    # Rows and summed text lengths of the CHECKED columns, 17 of 35: a wrong value of the same
-    # length and the other columns (README, Checks) stay unchecked, as in the SQL twin.
-    counts = [df.agg(F.count(F.lit(1)).alias("filas"), *[
-        F.sum(F.length(F.concat(F.lit(""), df[c].cast("string")))).alias(f"_{i}") for i, c in enumerate(CHECKED[n])])
-        .select(F.lit(n).alias("tabla"), "filas", sum(F.coalesce(F.col(f"_{i}"), F.lit(0)) for i in range(len(
-            CHECKED[n]))).cast("long").alias("letras")) for n, df in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    sums = [sl.column_checksums(df).select(F.lit(n).alias("tabla"), F.col("column").alias("columna"), F.col("rows").alias("filas"),
+                                           F.col("nulls").alias("nulos"), F.col("checksum").alias("suma"))
+            for n, df in tables.items()]
+    out = sums[0]
+    for s in sums[1:]:
+        out = out.unionByName(s)
     return out
 
 
@@ -129,6 +126,28 @@ def s3_load_catalog_files(spark, sf):
     return as_catalog(load_catalog(spark, path))
 
 
+@query
+def s3_catalog_cells_over_lines(spark, sf):
+    """Catalog files whose notes hold separators, quotes and line breaks."""
+    path = scratch_path(spark, "catalog-notes")
+    listed = fixture_tables(spark, sf)["discount_catalog"]
+    key, percent = F.col("concatenar").alias("Concatenar"), F.col("pct_descuento").alias("% Descuento")
+    lines = F.pmod(F.crc32(F.col("concatenar").cast("binary")), F.lit(7)).cast("int")
+    note = F.concat(F.lit('5" ; '), F.repeat(F.lit('uno; "dos"\n'), lines), F.lit("fin")).alias("nota")
+    (listed.select(note, key, percent).write.option("header", True).option("sep", ";").option("escape", '"').csv(path))
+    return as_catalog(load_catalog(spark, path))
+
+
+@query
+def s3_catalog_workbooks(spark, sf):
+    """The catalog written as workbooks and imported from them."""
+    path = scratch_path(spark, "catalog-books")
+    listed = fixture_tables(spark, sf)["discount_catalog"].repartition(3)
+    sl.write_workbooks(listed.select(F.lit("x;\ny").alias("nota"), F.col("pct_descuento").alias("% Descuento"),
+                                     F.col("concatenar").alias(" Concatenar ")), path)
+    return as_catalog(load_catalog(spark, path, fmt="workbook"))
+
+
 @query
 def s4_catalog_contract(spark, sf):
     return catalog(spark, sf)
@@ -141,6 +160,16 @@ def s5_export_view(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def s5_export_workbook(spark, sf):
+    """The main-house view exported as workbooks and read back: texts as they are, sums as numbers."""
+    path = scratch_path(spark, "view-books")
+    view = v3(spark, sf)
+    sl.export_view(view, path, "workbook")
+    cells = sl.read_workbooks(spark, path).filter("row > 0")
+    return cells.select(*[F.get("cells", F.lit(i)).cast(kind).alias(n) for i, (n, kind) in enumerate(view.dtypes)])
+
+
 @query
 def s6_export_columns(spark, sf):
     return sl.export_columns(v1(spark, sf), ["CodigoMarca", "Concatenar", HOUSE_TOTAL],
