@@ -26,4 +26,5 @@ from .sources.catalog import as_catalog, load_catalog
 from .sources.contents import column_checksums
 from .sources.sinks import EmptyViewError, discount_report, export_columns, export_view, split_columns
 from .sources.tables import load_sources, load_table, load_warehouse, strip_columns
+from .sources.versions import KeptSnapshot, RangedTable
 from .sources.workbooks import read_workbooks, write_workbooks

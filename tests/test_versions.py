@@ -1,0 +1,124 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import stocklens as sl
+from data import SNAPSHOT_DDL, snapshot_row
+from stocklens.names import ITEM_KEY, VIEW_ALL, VIEW_BRANCHES, VIEW_HOUSE
+from stocklens.operators.pivots import PIVOTS
+from stocklens.plans.view import ViewFilters, prepare_rows
+from stocklens.sources.versions import KeptSnapshot, RangedTable
+
+STORES = [f"T{i}" for i in range(4)]
+REGIONS = ["A - Casa Matriz", "B - Casa Matriz"]
+VIEWS = {"all": (VIEW_ALL, [f"{r} - {s}" for r in (*REGIONS, "A - Sucursales") for s in STORES]),
+         "branches": (VIEW_BRANCHES, STORES), "house": (VIEW_HOUSE, REGIONS)}
+
+
+def random_rows(seed, items):
+    rng = random.Random(seed)
+    return [snapshot_row(ref=f"r{i}", brand=rng.choice(["b1", "b2"]), region=rng.choice([*REGIONS, "A - Sucursales"]),
+                         store=rng.choice(STORES), stock=rng.choice([0.0, 0.25, 0.5, 0.75, 3.0]), promo=rng.choice([0, 1]))
+            for i in range(items) for _ in range(rng.randint(1, 6))] + [snapshot_row(ref=None, brand=None)] * 3
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SNAPSHOT_DDL)
+
+
+def same(a, b):
+    return sorted(map(str, map(tuple, a.select(*b.columns).collect()))) == sorted(map(str, map(tuple, b.collect())))
+
+
+def check_views(kept, snapshot):
+    assert same(kept.snapshot(), snapshot)
+    for name, (view, columns) in VIEWS.items():
+        assert same(kept.pivot(name), PIVOTS[view](prepare_rows(snapshot, view, ViewFilters()), columns)), name
+
+
+def files_of(df):
+    return {r[0].split("/_version=")[1].rsplit("/", 1)[0] for r in df.select(F.input_file_name()).distinct().collect()}
+
+
+def test_refresh_equals_a_full_reload(spark, tmp_path):
+    state = {"rows": random_rows(1, 300)}
+    kept = KeptSnapshot(spark, str(tmp_path), lambda: frame(spark, state["rows"]), VIEWS, ranges=64)
+    assert len(kept.refresh()) == 64
+    check_views(kept, frame(spark, state["rows"]))
+    assert kept.refresh() == [] and kept.rows.version == 1
+
+    # one item in a hundred changes: stock, one item goes, one comes, rows are shuffled
+    rows = list(state["rows"])
+    stock = 15
+    for item in ("r7", "r107"):
+        rows = [r[:stock] + (r[stock] + 0.25,) + r[stock + 1:] if r[1] == item else r for r in rows]
+    rows = [r for r in rows if r[1] != "r20"] + [snapshot_row(ref="new", brand="b9", stock=2.0)]
+    random.Random(2).shuffle(rows)
+    state["rows"] = rows
+    changed = kept.refresh()
+    assert 2 <= len(changed) <= 5
+    check_views(kept, frame(spark, rows))
+    # unchanged ranges stay in the folder of the first version; what is read for the views is the changed part
+    assert files_of(kept.rows.read(changed)) <= {f"2/_range={i}" for i in changed}
+    assert all(f.startswith("1/") for f in files_of(kept.rows.read(set(range(64)) - set(changed))))
+    plan = kept.rows.read(changed)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_range" in plan
+
+    again = KeptSnapshot(spark, str(tmp_path), lambda: frame(spark, rows), VIEWS, ranges=64)
+    assert again.refresh() == [] and same(again.pivot("house"), kept.pivot("house"))
+    kept.vacuum()
+    check_views(kept, frame(spark, rows))
+    with pytest.raises(ValueError, match="ranges"):
+        KeptSnapshot(spark, str(tmp_path), lambda: None, VIEWS, ranges=32)
+
+
+def test_a_vanished_range_and_an_empty_snapshot(spark, tmp_path):
+    state = {"rows": random_rows(3, 10)}
+    kept = KeptSnapshot(spark, str(tmp_path), lambda: frame(spark, state["rows"]), VIEWS, ranges=16)
+    kept.refresh()
+    state["rows"] = [r for r in state["rows"] if r[1] in ("r1", "r2")]
+    kept.refresh()
+    check_views(kept, frame(spark, state["rows"]))
+    state["rows"] = []
+    kept.refresh()
+    assert kept.snapshot().count() == 0 and all(kept.pivot(n).count() == 0 for n in VIEWS)
+    state["rows"] = random_rows(4, 12)
+    kept.refresh()
+    check_views(kept, frame(spark, state["rows"]))
+
+
+def test_a_refresh_that_stopped_half_way(spark, tmp_path):
+    """The rows are new, two views are not: the next refresh brings them up, also if it finds no change."""
+    state = {"rows": random_rows(5, 40)}
+    make = lambda: KeptSnapshot(spark, str(tmp_path), lambda: frame(spark, state["rows"]), VIEWS, ranges=8)
+    kept = make()
+    kept.refresh()
+    state["rows"] = [r for r in state["rows"] if r[1] != "r3"] + [snapshot_row(ref="x", stock=5.0)]
+    broken = make()
+    broken.kept = {"all": broken.kept["all"]}
+    broken.refresh()
+    later = make()
+    assert later.refresh() == []
+    check_views(later, frame(spark, state["rows"]))
+
+
+def test_repeated_rows_count_and_a_hot_key_is_split(spark, tmp_path):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") % 5).alias("v"))
+    table = RangedTable(spark, str(tmp_path), "k", 8)
+    table.replace(rows, list(range(8)), table.digests(rows))
+    assert same(table.read(), rows)
+    assert table.changed(table.digests(rows)) == []
+    assert len(table.changed(table.digests(rows.unionByName(rows.filter("k = 'hot'").limit(1))))) == 1
+    assert table.changed(table.digests(rows.repartition(13))) == []
+
+
+def test_views_refuse_filters_that_precede_the_pivot(spark, tmp_path):
+    kept = KeptSnapshot(spark, str(tmp_path), lambda: frame(spark, random_rows(1, 5)), VIEWS, ranges=4)
+    kept.refresh()
+    assert kept.view("house", stock_range=(1, 100)).count() <= kept.pivot("house").count()
+    with pytest.raises(ValueError, match="precede"):
+        kept.view("house", region="A")
+    with pytest.raises(ValueError, match="pivot columns"):
+        KeptSnapshot(spark, str(tmp_path), None, {"x": (VIEW_ALL, None)})
+    assert ITEM_KEY in kept.snapshot().columns and sl.KeptSnapshot is KeptSnapshot

@@ -24,6 +24,12 @@ SHARED = """dim_item as (
 """
 
 
+# Three more pieces in every fact of one item in a hundred.
+CHANGED = """fact_stock as (
+      select * replace (case when item_id % 100 = 7 then existencia + 3 else existencia end as existencia) from own_stock),
+"""
+
+
 def _canonical(col: str, kind: str) -> str:
     """A value as text for its checksum: hundredths of fractions, times to the second."""
     return {"fraction": f"cast(cast(round({col} * 100) as bigint) as varchar)",
@@ -237,6 +243,10 @@ SELECTS = {
       select carga, v.* from (select unnest(['first', 'again']) as carga) cross join (
         select 'branches' as vista, Concatenar, CodigoMarca, Descuento, Sucursal_Total as total from ({_branches('limpia')})
         union all select 'house', Concatenar, CodigoMarca, Descuento, Casa_matriz_Total from ({_house('limpia')})) v""",
+    "s8_refresh_by_change": " union all ".join(
+        f"select '{name}' as vista, Concatenar, CodigoMarca, Descuento, Promocion, {total} as total from ({pivot('limpia')})"
+        for name, total, pivot in (("all", "Sucursal_Total", _pivot_all), ("branches", "Sucursal_Total", _branches),
+                                   ("house", "Casa_matriz_Total", _house))),
     "p1_item_key": """
       select i.item_id, coalesce(i.referencia, '') || coalesce(i.codigo_marca, '') as Concatenar,
              coalesce(i.referencia, '') || coalesce(b.nombre, '') as con_nombre
@@ -417,5 +427,7 @@ def oracle_texts() -> dict[str, str]:
         ctes = ",\n".join(f"{c} as ({CTES[c].strip()})" for c in _needed(select))
         if name.endswith("_shared_item"):
             ctes = ctes.replace("dim_item as (", "own_item as (", 1).replace("dim_category as (", SHARED + "dim_category as (", 1)
+        if name == "s8_refresh_by_change":
+            ctes = ctes.replace("fact_stock as (", "own_stock as (", 1).replace("movement_line as (", CHANGED + "movement_line as (", 1)
         texts[name] = (f"with {ctes}\n" if ctes else "") + select.strip()
     return texts

@@ -197,6 +197,29 @@ def s8_snapshot_cache(spark, sf):
     return spark.read.parquet(path)
 
 
+def changed_stock(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with three more pieces in every fact of one item in a hundred."""
+    more = F.when(F.col("item_id") % 100 == 7, F.col("existencia") + 3).otherwise(F.col("existencia"))
+    return {**tables, "fact_stock": tables["fact_stock"].withColumn("existencia", more)}
+
+
+@query
+def s8_refresh_by_change(spark, sf):
+    """Views kept on files, after a refresh that finds one item in a hundred changed."""
+    state = {"tables": fixture_tables(spark, sf)}
+    kept = sl.KeptSnapshot(
+        spark, scratch_path(spark, "kept-snapshot"),
+        lambda: sl.stock_snapshot(state["tables"], RULES, statuses=STATUSES, unique_items=True, ordered=False),
+        {"all": (VIEW_ALL, STORE_LABELS), "branches": (VIEW_BRANCHES, BRANCH_STORES), "house": (VIEW_HOUSE, HOUSE_REGIONS)}, ranges=32)
+    kept.refresh()
+    state["tables"] = changed_stock(state["tables"])
+    kept.refresh()
+    parts = [kept.pivot(name).select(F.lit(name).alias("vista"), "Concatenar", "CodigoMarca", "Descuento", "Promocion",
+                                     F.col(total).alias("total"))
+             for name, total in (("all", BRANCH_TOTAL), ("branches", BRANCH_TOTAL), ("house", HOUSE_TOTAL))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- projections and derived columns ------------------------------------------
 
 @query
