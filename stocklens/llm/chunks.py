@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
 SPACES = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 BATCH_CHARS = 1_000_000
-MAX_KEPT = 1_000_000
+MAX_KEPT_BYTES = 160_000_000
+ENTRY_BYTES = 180        # of a kept piece besides its text and ids: two objects and their places in the table
 
 
 def pieces(text: str) -> list[str]:
@@ -27,21 +29,24 @@ class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece once.
 
     ``encode`` maps a list of distinct pieces to their ids as bytes.  Kept pieces are
-    bounded: beyond ``max_kept`` the memory starts anew, which costs time, not results.
+    bounded by their bytes: beyond ``max_bytes`` the memory starts anew before the next
+    batch, which costs time, not results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], max_kept: int = MAX_KEPT):
-        self.encode, self.max_kept = encode, max_kept
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], max_bytes: int = MAX_KEPT_BYTES):
+        self.encode, self.max_bytes = encode, max_bytes
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
-        if len(self.known) > self.max_kept:
-            self.known = {}
-        here = set().union(*cut)
-        new = list(here.difference(self.known))
-        self.known.update(zip(new, self.encode(new), strict=True))
-        find = dict(zip(here, map(self.known.__getitem__, here), strict=True)).__getitem__
+        if self.bytes > self.max_bytes:
+            self.known, self.bytes = {}, 0
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(cut))))
+        ids = list(self.encode(new))
+        self.known.update(zip(new, ids, strict=True))
+        self.bytes += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, ids))
+        find = self.known.__getitem__
         return [b"".join(map(find, parts)) for parts in cut]
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:

@@ -35,6 +35,7 @@ from .common import stored
 
 BLOCK_IDS = 65_536
 LEVEL = 3
+CHAIN = 64          # pieces encoded one behind the other
 BLOCK_HEAD, INDEX_HEAD, END = struct.Struct("<4sIBBI"), struct.Struct("<4sIIQ"), struct.Struct("<I4s")
 BLOCK_ENTRY = np.dtype([("offset", "<u8"), ("length", "<u4"), ("ids", "<u4")])
 
@@ -169,16 +170,15 @@ def library_encoder(path: str) -> PieceEncoder:
     for token, i in vocabulary.items():
         token_bytes[i] = special.get(token, len(token))    # one symbol stands for a byte
 
-    def ids_of(text: str) -> np.ndarray:
-        [found] = tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found.ids, dtype="<u4")
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, dtype="<u4") for at in range(0, len(texts), 256)
+                for found in tokenizer.encode_batch_fast(texts[at:at + 256], add_special_tokens=False)]
 
     def encode(texts: list[str]) -> list[bytes]:
         chained = [t for t in texts if t[:1] == " " and len(t) > 1 and not t[-1].isspace()]
+        chains = [chained[at:at + CHAIN] for at in range(0, len(chained), CHAIN)]
         out = {}
-        for at in range(0, len(chained), 4_096):
-            part = chained[at:at + 4_096]
-            ids = ids_of("".join(part))
+        for part, ids in zip(chains, ids_of(["".join(part) for part in chains]), strict=True):
             ends = np.cumsum(token_bytes[ids])
             want = np.cumsum(np.fromiter((len(t.encode()) for t in part), dtype=np.int64, count=len(part)))
             cuts = np.searchsorted(ends, want, side="left")
@@ -186,7 +186,9 @@ def library_encoder(path: str) -> PieceEncoder:
                 continue                                   # not a byte-level vocabulary
             data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
             out |= {t: data[a:b] for t, a, b in zip(part, [0, *stops], stops, strict=False)}
-        return [out[t] if t in out else ids_of(t).tobytes() for t in texts]
+        alone = [t for t in texts if t not in out]
+        out |= {t: ids.tobytes() for t, ids in zip(alone, ids_of(alone), strict=True)}
+        return [out[t] for t in texts]
 
     return PieceEncoder(encode)
 

@@ -31,7 +31,7 @@ def test_both_encoders_equal_the_library():
 
 
 def test_kept_pieces_are_bounded():
-    encoder = bpe.PieceEncoder(bpe.vocabulary(VOCABULARY, PATTERN).encode_pieces, max_kept=10)
+    encoder = bpe.PieceEncoder(bpe.vocabulary(VOCABULARY, PATTERN).encode_pieces, max_bytes=10)
     for _ in range(2):
         assert [np.frombuffer(d, "<u4").tolist() for d in encoder(texts(200))] == [library(t) for t in texts(200)]
 
