@@ -15,7 +15,7 @@ from .operators.joins import (
 )
 from .operators.pivots import (
     global_share, pivot_all_stores, pivot_branches, pivot_main_house, pivot_main_house_share,
-    store_columns,
+    pivot_views, stock_and_attributes, store_columns,
 )
 from .plans.snapshot import last_movement_dates, stock_snapshot
 from .plans.view import ViewFilters, discount_audit, stock_view
@@ -24,6 +24,7 @@ from .session import build_session
 from .sources.cache import Snapshot
 from .sources.catalog import as_catalog, load_catalog
 from .sources.contents import column_checksums
+from .sources.layout import store_by_item
 from .sources.sinks import EmptyViewError, discount_report, export_columns, export_view, split_columns
 from .sources.tables import load_sources, load_table, load_warehouse, strip_columns
 from .sources.versions import KeptSnapshot, RangedTable

@@ -31,11 +31,17 @@ def last_movement(mv: DataFrame) -> DataFrame:
               .withColumn("Fecha", F.date_format("Fecha", DAY_FIRST)))
 
 
-def duplicate_flag(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """True on every row whose (item, discount) occurs more than once; NULLs are equal."""
+def duplicate_flag(df: DataFrame, enabled: bool = True, colocated: bool = False) -> DataFrame:
+    """True on every row whose (item, discount) occurs more than once; NULLs are equal.
+
+    Over rows stored by item, ``colocated`` counts them in place, in one scan without a
+    shuffle of their own.
+    """
     if not enabled or ITEM_KEY not in df.columns or DISCOUNT not in df.columns:
         return df.withColumn(DUPLICATE_FLAG, F.lit(False))
     key = [ITEM_KEY, DISCOUNT]
+    if colocated:
+        return df.withColumn(DUPLICATE_FLAG, F.count(F.lit(1)).over(Window.partitionBy(*key)) > 1)
     repeated = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     return (join_groups(df, repeated, key, "left")
             .withColumn(DUPLICATE_FLAG, F.col("_n").isNotNull()).drop("_n"))

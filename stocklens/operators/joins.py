@@ -158,8 +158,14 @@ def with_last_movement(df: DataFrame, last: DataFrame, key: str = "concatenar")
     return df.join(last.select(*on, "Fecha"), on, "inner")
 
 
-def attributes_with_totals(attributes: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attribute rows with the totals of their item; all rows of an item repeat them."""
+def attributes_with_totals(attributes: DataFrame, totals: DataFrame, colocated: bool = False) -> DataFrame:
+    """Attribute rows with the totals of their item; all rows of an item repeat them.
+
+    ``colocated`` states that both sides come from rows stored by item (``sources.layout``):
+    they are joined where they lie.  Neither side has a NULL item.
+    """
+    if colocated:
+        return attributes.join(totals, ITEM_KEY, "left")
     return join_groups(attributes, totals, [ITEM_KEY], "left")
 
 

@@ -76,10 +76,15 @@ def _needed(df: DataFrame, *extra: str) -> None:
     require(df, (*FIXED_ATTRIBUTES, REGION, STOCK, *extra))
 
 
-def pivot_all_stores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def pivot_all_stores(df: DataFrame, columns: Sequence[str] | None = None, colocated: bool = False) -> DataFrame:
     """One row per item: each store of the main house and the branches, both
     totals and their shares; items without stock on either side drop out."""
     _needed(df, STORE)
+    return _all_stores(df, df, columns)
+
+
+def _all_stores(df: DataFrame, described: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """The view from rows of stock and rows of attributes, which can be the same."""
     label = store_label(F.col(REGION), F.col(STORE))
     columns = _house_then_branch(distinct_labels(df, label) if columns is None else columns)
     sums = item_sums(df, label, columns, {
@@ -87,43 +92,50 @@ def pivot_all_stores(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         HOUSE_TOTAL: F.col("_label").contains(HOUSE_WORD)})
     sums = drop_empty_rows(sums, HOUSE_TOTAL, BRANCH_TOTAL)
     house, branch = F.col(HOUSE_TOTAL), F.col(BRANCH_TOTAL)
-    return (item_attributes(df, one_per_item=True).join(sums, ITEM_KEY)
+    return (item_attributes(described, one_per_item=True).join(sums, ITEM_KEY)
             .select(*FIXED_ATTRIBUTES, *[backticked(c) for c in columns], BRANCH_TOTAL, HOUSE_TOTAL,
                     percent_sign(share(house, house + branch)).alias(HOUSE_SHARE),
                     percent_sign(share(branch, house + branch)).alias(BRANCH_SHARE)))
 
 
-def _scoped_pivot(df: DataFrame, view: str, label: str, total: str,
-                  columns: Sequence[str] | None, one_per_item: bool) -> DataFrame:
-    rows = scope(df, view)
+def _scoped_pivot(rows: DataFrame, described: DataFrame, label: str, total: str, columns: Sequence[str] | None,
+                  one_per_item: bool, colocated: bool = False) -> DataFrame:
+    """A view from rows of stock and rows of attributes of one scope, which can be the same."""
     columns = distinct_labels(rows, quoted(label)) if columns is None else sorted(columns)
     sums = item_sums(rows, quoted(label), columns, {total: F.lit(True)})
-    joined = attributes_with_totals(item_attributes(rows, one_per_item), sums)
+    joined = attributes_with_totals(item_attributes(described, one_per_item), sums, colocated)
     return joined.select(*FIXED_ATTRIBUTES, *[backticked(c) for c in columns], total)
 
 
 def pivot_branches(df: DataFrame, columns: Sequence[str] | None = None,
-                   one_per_item: bool = False) -> DataFrame:
-    """Branch stores as columns; attribute rows of an item repeat its sums."""
+                   one_per_item: bool = False, colocated: bool = False) -> DataFrame:
+    """Branch stores as columns; attribute rows of an item repeat its sums.
+
+    ``colocated``: the rows are stored by item, see ``sources.layout``.
+    """
     _needed(df, STORE)
-    view = _scoped_pivot(df, VIEW_BRANCHES, STORE, BRANCH_TOTAL, columns, one_per_item)
-    return positive_total(view, BRANCH_TOTAL)
+    rows = scope(df, VIEW_BRANCHES)
+    return positive_total(_scoped_pivot(rows, rows, STORE, BRANCH_TOTAL, columns, one_per_item, colocated), BRANCH_TOTAL)
 
 
 def pivot_main_house(df: DataFrame, columns: Sequence[str] | None = None,
-                     one_per_item: bool = False) -> DataFrame:
-    """Main-house regions as columns; attribute rows of an item repeat its sums."""
+                     one_per_item: bool = False, colocated: bool = False) -> DataFrame:
+    """Main-house regions as columns; attribute rows of an item repeat its sums.
+
+    ``colocated``: the rows are stored by item, see ``sources.layout``.
+    """
     _needed(df)
-    view = _scoped_pivot(df, VIEW_HOUSE, REGION, HOUSE_TOTAL, columns, one_per_item)
-    return positive_total(view, HOUSE_TOTAL)
+    rows = scope(df, VIEW_HOUSE)
+    return positive_total(_scoped_pivot(rows, rows, REGION, HOUSE_TOTAL, columns, one_per_item, colocated), HOUSE_TOTAL)
 
 
 def pivot_main_house_share(df: DataFrame, total: float | None = None,
                            columns: Sequence[str] | None = None,
-                           one_per_item: bool = False) -> DataFrame:
+                           one_per_item: bool = False, colocated: bool = False) -> DataFrame:
     """Main-house view with every row's share of the global (or a given) total."""
     _needed(df)
-    view = _scoped_pivot(df, VIEW_HOUSE, REGION, HOUSE_TOTAL, columns, one_per_item)
+    rows = scope(df, VIEW_HOUSE)
+    view = _scoped_pivot(rows, rows, REGION, HOUSE_TOTAL, columns, one_per_item, colocated)
     return _with_share(view, HOUSE_TOTAL, _house_total(df, one_per_item) if total is None else total)
 
 
@@ -155,4 +167,38 @@ def _with_share(df: DataFrame, col: str, whole: Column | float, out: str = HOUSE
     return df.withColumn(out, F.when(whole > 0, percent_sign(part)).otherwise("0%"))
 
 
+def stock_and_attributes(df: DataFrame) -> DataFrame:
+    """What all views need of the snapshot, by one grouping-sets aggregate over one scan.
+
+    Rows with ``_set`` 0 hold the stock of an item, region and store; rows with ``_set`` 1 a
+    distinct attribute row, and whether branch rows or main-house rows have it.  NULL items
+    are left out, as every view does.
+    """
+    _needed(df, STORE)
+    cells, attributes = [ITEM_KEY, REGION, STORE], list(FIXED_ATTRIBUTES)
+    keys = [*attributes, REGION, STORE]
+    made = (df.filter(F.col(ITEM_KEY).isNotNull()).groupingSets([cells, attributes], *keys)
+              .agg(F.grouping(REGION).alias("_set"), F.sum(STOCK).alias(STOCK), *[
+                  F.max(F.coalesce(F.col(REGION).contains(word), F.lit(False))).alias(flag)
+                  for word, flag in ((BRANCH_WORD, "_branch"), (HOUSE_WORD, "_house"))]))
+    return made
+
+
+def pivot_views(parts: DataFrame, columns: Mapping[str, Sequence[str] | None]) -> dict[str, DataFrame]:
+    """The pivot views, by name, that ``columns`` lists, from the rows of ``stock_and_attributes``.
+
+    Keep ``parts`` in between (written, or persisted): it is far smaller than the snapshot
+    and every view reads it twice.
+    """
+    cells, described = parts.filter("_set = 0").select(ITEM_KEY, REGION, STORE, STOCK), parts.filter("_set = 1")
+
+    def view(name: str) -> DataFrame:
+        if name == VIEW_ALL:
+            return _all_stores(cells, described, columns[name])
+        label, total, flag = (STORE, BRANCH_TOTAL, "_branch") if name == VIEW_BRANCHES else (REGION, HOUSE_TOTAL, "_house")
+        return positive_total(_scoped_pivot(scope(cells, name), described.filter(flag), label, total, columns[name], False), total)
+
+    return {name: view(name) for name in columns}
+
+
 PIVOTS = {VIEW_ALL: pivot_all_stores, VIEW_BRANCHES: pivot_branches, VIEW_HOUSE: pivot_main_house}

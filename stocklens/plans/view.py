@@ -36,6 +36,7 @@ class ViewFilters:
     exclude_year: int | str | None = None
     date_col: str | None = "Fecha"
     date_formats: Sequence[str] = f.DATE_FORMATS
+    colocated: bool = False      # the snapshot is stored by item, see sources.layout
 
     @property
     def catalog_mode(self) -> str | None:
@@ -70,7 +71,7 @@ def refine_view(pivot: DataFrame, catalog: DataFrame | None, flt: ViewFilters) -
     rows = rows.select(*view_order(rows.columns))
     rows = f.catalog_match(rows, flt.catalog_mode)
     rows = normalise_promo(rows)
-    rows = duplicate_flag(rows, flt.flag_duplicates)
+    rows = duplicate_flag(rows, flt.flag_duplicates, flt.colocated)
     return f.dup_mode(rows, flt.dup_mode)
 
 
@@ -87,7 +88,7 @@ def stock_view(snapshot: DataFrame, view: str = VIEW_ALL, catalog: DataFrame | N
                columns: Sequence[str] | None = None, **filters) -> DataFrame:
     """A pivot view with any set of filters; see :class:`ViewFilters`."""
     flt = ViewFilters(**filters)
-    pivot = PIVOTS[view](prepare_rows(snapshot, view, flt), columns)
+    pivot = PIVOTS[view](prepare_rows(snapshot, view, flt), columns, colocated=flt.colocated)
     return refine_view(pivot, catalog, flt)
 
 

@@ -1,0 +1,79 @@
+"""Views over a snapshot stored by item, and all views from one scan."""
+
+import re
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+import stocklens as sl
+from data import random_snapshot, snapshot_frame
+from stocklens.names import VIEW_ALL, VIEW_BRANCHES, VIEW_HOUSE
+from stocklens.operators.pivots import PIVOTS
+
+BY_ITEM = re.compile(r"Exchange hashpartitioning\([^)]*Concatenar")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def same(a, b):
+    return sorted(map(str, map(tuple, a.select(*[f"`{c}`" for c in b.columns]).collect()))) == sorted(map(str, map(tuple, b.collect())))
+
+
+@pytest.fixture(scope="module")
+def loose(spark):
+    return snapshot_frame(spark, [r for seed in range(4) for r in random_snapshot(seed)])
+
+
+@pytest.fixture(scope="module")
+def stored(spark, loose, tmp_path_factory):
+    # a small table would be broadcast, which needs no shuffle anyhow
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in keep:
+        spark.conf.set(k, "-1")
+    name = f"rows_{uuid.uuid4().hex}"
+    yield sl.store_by_item(loose, name, 4)
+    spark.sql(f"drop table {name}")
+    for k, v in keep.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_no_shuffle_by_item(spark, stored, loose):
+    name = f"listed_{uuid.uuid4().hex}"
+    catalog = spark.createDataFrame([("r1b1", "5%"), ("r2b2", ""), ("r1b1", "7%"), (None, "1%")], "Concatenar string, Descuento_Catalogo string")
+    listed = sl.store_by_item(catalog, name, 4)
+    cases = {
+        "v1": lambda df, at: sl.pivot_all_stores(df, ["A - Casa Matriz - T1", "A - Sucursales - T2"]),
+        "v2": lambda df, at: sl.pivot_branches(df, ["T1", "T2"], colocated=at),
+        "v3": lambda df, at: sl.pivot_main_house(df, ["A - Casa Matriz"], colocated=at),
+        "v4": lambda df, at: sl.pivot_main_house_share(df, columns=["A - Casa Matriz"], colocated=at),
+        "n3": lambda df, at: sl.duplicate_flag(df, colocated=at),
+        "j8": lambda df, at: sl.with_catalog(df, listed if at else catalog),
+        "q2": lambda df, at: sl.stock_view(df, VIEW_BRANCHES, listed if at else catalog, ["T1"], flag_duplicates=True, colocated=at)}
+    for case, make in cases.items():
+        got = make(stored, True)
+        assert not BY_ITEM.search(plan(got)), case
+        assert "Bucketed: true" in plan(got), case
+        assert same(got, make(loose, False)), case
+    assert BY_ITEM.search(plan(sl.pivot_branches(loose, ["T1"])))
+    spark.sql(f"drop table {name}")
+
+
+def test_all_views_from_one_scan(spark, loose, tmp_path):
+    loose.write.parquet(str(tmp_path / "snapshot"))
+    snapshot = spark.read.parquet(str(tmp_path / "snapshot"))
+    parts = sl.stock_and_attributes(snapshot)
+    assert plan(parts).count("FileScan") == 1 and plan(parts).count("Exchange") == 1
+    parts.write.parquet(str(tmp_path / "parts"))
+    kept = spark.read.parquet(str(tmp_path / "parts"))
+    columns = {VIEW_ALL: None, VIEW_BRANCHES: None, VIEW_HOUSE: ["A - Casa Matriz", "Z - Casa Matriz"]}
+    for name, view in sl.pivot_views(kept, columns).items():
+        want = PIVOTS[name](loose, columns[name])
+        assert view.columns == want.columns and same(view, want), name
+
+
+def test_all_views_of_an_empty_snapshot(spark, loose):
+    views = sl.pivot_views(sl.stock_and_attributes(loose.filter(F.lit(False))), {VIEW_ALL: [], VIEW_BRANCHES: ["T1"], VIEW_HOUSE: []})
+    assert [v.count() for v in views.values()] == [0, 0, 0]

@@ -247,6 +247,13 @@ SELECTS = {
         f"select '{name}' as vista, Concatenar, CodigoMarca, Descuento, Promocion, {total} as total from ({pivot('limpia')})"
         for name, total, pivot in (("all", "Sucursal_Total", _pivot_all), ("branches", "Sucursal_Total", _branches),
                                    ("house", "Casa_matriz_Total", _house))),
+    "s8_stored_by_item": f"""
+      select {_view_columns(BRANCH_STORES, 'Sucursal_Total')}
+      from ({_flagged(f"({_with_catalog('(' + _branches('limpia') + ')')})")})""",
+    "v_all_views_one_pass": " union all ".join(
+        f'select \'{n}\' as vista, {FIXED}, "{column}" as cantidad from {view}' for n, view, column in (
+            ("all", "v1", STORE_LABELS[0]), ("all_last", "v1", "Sucursal_Total"), ("branches", "v2", "Sucursal_Total"),
+            ("house", "v3", "Casa_matriz_Total"))),
     "p1_item_key": """
       select i.item_id, coalesce(i.referencia, '') || coalesce(i.codigo_marca, '') as Concatenar,
              coalesce(i.referencia, '') || coalesce(b.nombre, '') as con_nombre

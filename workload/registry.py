@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -220,6 +222,29 @@ def s8_refresh_by_change(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def s8_stored_by_item(spark, sf):
+    """Snapshot and catalog stored by item: a flagged view with the catalog, without a shuffle by item."""
+    name = f"by_item_{uuid.uuid4().hex}"
+    stored = sl.store_by_item(rows(spark, sf), f"{name}_rows", 8)
+    listed = sl.store_by_item(catalog(spark, sf), f"{name}_catalog", 8)
+    return sl.stock_view(stored, VIEW_BRANCHES, listed, BRANCH_STORES, flag_duplicates=True, colocated=True)
+
+
+@query
+def v_all_views_one_pass(spark, sf):
+    """All three views from one scan of the snapshot."""
+    path = scratch_path(spark, "view-parts")
+    sl.stock_and_attributes(rows(spark, sf)).write.parquet(path)
+    views = sl.pivot_views(spark.read.parquet(path), {
+        VIEW_ALL: STORE_LABELS, VIEW_BRANCHES: BRANCH_STORES, VIEW_HOUSE: HOUSE_REGIONS})
+    named = (("all", VIEW_ALL, STORE_LABELS[0]), ("all_last", VIEW_ALL, BRANCH_TOTAL),
+             ("branches", VIEW_BRANCHES, BRANCH_TOTAL), ("house", VIEW_HOUSE, HOUSE_TOTAL))
+    parts = [views[view].select(F.lit(n).alias("vista"), *sl.names.FIXED_ATTRIBUTES, F.col(f"`{column}`").alias("cantidad"))
+             for n, view, column in named]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- projections and derived columns ------------------------------------------
 
 @query
