@@ -5,12 +5,12 @@ below the weight of each element; the same dart falls for every set that has the
 element, so the earliest dart of a coordinate is a weighted MinHash value, and a set
 needs about as many darts as it has coordinates, however heavy it is.
 
-Documents that agree in a band of coordinates are candidates.  Within a bucket they are
-compared with two hubs first; what is then in one class needs no further comparison.
-Buckets that still hold several classes are not paired out: two sets of similarity t
-share one of the rarest elements of either, a share of 1 - t of the larger set and about
-half that of the smaller, so the rest meets on those, and only pairs whose signatures
-are alike are compared.
+Documents that agree in a band of coordinates are candidates.  Copies of one shingle set
+are one node.  A node is first compared with the hub that shares most buckets with others,
+then with the hubs of its other buckets while their classes differ.  What is left are
+buckets of several classes, which are not paired out: two sets that are alike enough share
+one of the rarest elements of either, early enough in the order by rarity for the rest to
+reach the threshold.  That bound is exact, and only pairs within it are compared.
 """
 
 from __future__ import annotations
@@ -22,14 +22,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import fresh, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5      # two documents of similarity 0.8 share no band once in 14,000 times
-MAX_UNEQUAL = 41         # of 120 coordinates; two documents of similarity 0.8 differ in more once in 20,000 times
 EXTRA_DARTS = 3.0        # a coordinate stays empty, and darts are thrown again, for 5 % of the sets
 FINEST = 12              # rank intervals get no shorter than 2 ** -FINEST
 KEPT_WORDS = 300_000
@@ -143,54 +142,44 @@ def band_values(values: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def packed(values: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, fifteen coordinates in a number."""
-    nibbles = (values & np.uint64(15)).reshape(-1, 15) << (np.arange(15, dtype=np.uint64) * np.uint64(4))
-    return nibbles.sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def unequal(a: str, b: str) -> Column:
-    """Number of coordinates in which two ``packed`` columns differ."""
-    def differing(i: int) -> Column:
-        z = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        return F.bit_count(z.bitwiseAND(F.lit(int("1" * 15, 16))))
-
-    return sum((differing(i) for i in range(1, BANDS * ROWS // 15)), differing(0))
+def set_key(elements: np.ndarray, counts: np.ndarray, weighted: bool) -> bytes:
+    """A 16-byte name of a shingle set, or of a counted one."""
+    return blake2b(elements.tobytes() + counts.tobytes() * weighted, digest_size=16).digest()
 
 
 def sketch_udf(weighted: bool):
-    longs = ArrayType(LongType())
-    kind = StructType([StructField("set_key", BinaryType()), StructField("bands", longs), StructField("signs", longs)])
+    """struct(set_key, n, bands) of a text: the name, the size and the band values of its set."""
+    kind = StructType([StructField("set_key", BinaryType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))])
 
     @F.pandas_udf(kind)
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        keys, bands, signs = [], [], []
+        keys, sizes, bands = [], [], []
         for text in texts:
             elements, counts = shingles(text)
             weights = counts if weighted else np.ones_like(counts)
-            keys.append(blake2b(elements.tobytes() + weights.tobytes() * weighted, digest_size=16).digest())
-            values = signature(elements, weights.astype(float)) if len(elements) else None
-            bands.append([] if values is None else band_values(values))
-            signs.append([] if values is None else packed(values))
-        return pd.DataFrame({"set_key": keys, "bands": bands, "signs": signs})
+            keys.append(set_key(elements, counts, weighted))
+            sizes.append(int(weights.sum()))
+            bands.append(band_values(signature(elements, weights.astype(float))) if len(elements) else [])
+        return pd.DataFrame({"set_key": keys, "n": sizes, "bands": bands})
 
     return sketch
 
 
 def elements_udf(weighted: bool):
-    """The elements of a text's set; of a counted set, the k-th occurrence of a shingle is an element of its own."""
-    @F.pandas_udf(ArrayType(LongType()))
-    def elements(texts: pd.Series) -> pd.Series:
-        out = []
+    """struct(set_key, elements) of a text; of a counted set, the k-th occurrence of a shingle is an element of its own."""
+    kind = StructType([StructField("set_key", BinaryType()), StructField("elements", ArrayType(LongType()))])
+
+    @F.pandas_udf(kind)
+    def elements(texts: pd.Series) -> pd.DataFrame:
+        keys, sets = [], []
         for text in texts:
             found, counts = shingles(text)
+            keys.append(set_key(found, counts, weighted))
             if weighted:
                 turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                found = mixed(np.repeat(found, counts) + turn.astype(np.uint64))
-            out.append(found.view(np.int64))
-        return pd.Series(out, dtype=object)
+                found = np.sort(mixed(np.repeat(found, counts) + turn.astype(np.uint64)))
+            sets.append(found.view(np.int64))
+        return pd.DataFrame({"set_key": keys, "elements": sets})
 
     return elements
 
@@ -204,19 +193,6 @@ def similarity(a, b, weighted: bool = False) -> float:
     return float(both / max(a[1].sum() + b[1].sum() - both, 1))
 
 
-def similarity_udf(weighted: bool):
-    @F.pandas_udf(DoubleType())
-    def compare(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, text, found = [], None, None
-        for a, b in zip(left, right, strict=True):
-            if a != text:
-                text, found = a, shingles(a)
-            out.append(similarity(found, shingles(b), weighted))
-        return pd.Series(out, dtype="float64")
-
-    return compare
-
-
 # --- classes (Spark) ---------------------------------------------------------------
 
 def components(links: DataFrame, name: str = "classes") -> DataFrame:
@@ -243,116 +219,153 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
 
 
 class _Search:
-    """The state of one search: buckets, texts, what has been compared, and the classes so far."""
+    """The state of one search: nodes in buckets, their sets, and the classes so far."""
 
-    def __init__(self, buckets: DataFrame, texts: DataFrame, threshold: float, weighted: bool):
-        self.buckets, self.texts, self.threshold = buckets, texts, threshold
-        self.compare, self.elements = similarity_udf(weighted), elements_udf(weighted)
+    def __init__(self, buckets: DataFrame, sets: DataFrame, threshold: float):
+        sizes = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"))
+        met = buckets.join(sizes, ["band", "value"]).groupBy("node").agg(F.sum("size").alias("met"))
+        self.buckets = stored(buckets.join(met, "node"), "near-buckets")
+        self.sets, self.threshold = sets, threshold
         self.links = self.labels = None
+        hubs = self.buckets.groupBy("band", "value").agg(
+            F.max(F.struct("met", F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
+        self.hubs = stored(self.buckets.join(hubs, ["band", "value"]).filter(F.col("node") != F.col("h.hub"))
+                               .groupBy("node", "n", "h.hub", "h.hub_n").agg(F.max("h.met").alias("met")), "near-hubs")
+
+    def near_in_size(self, n: str, m: str) -> Column:
+        """Sets of these sizes can reach the threshold; 1e-6 allows for rounding."""
+        return F.least(n, m) >= self.threshold * F.greatest(n, m) - 1e-6
 
     def compare_pairs(self, pairs: DataFrame) -> None:
-        """Compare the distinct pairs (a, b) exactly; links among them join the classes."""
-        pairs = stored(pairs.select("a", "b").distinct(), "near-pairs")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = stored(self.texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-        likeness = pairs.join(right, "b").join(left, "a").select("a", "b", self.compare("left", "right").alias("likeness"))
-        new = stored(likeness.filter(F.col("likeness") >= self.threshold).select("a", "b"), "near-links")
+        """Compare the distinct pairs (a, b) of nodes exactly; links among them join the classes."""
+        left = self.sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
+        right = self.sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
+        found = pairs.select("a", "b").distinct().join(right, "b").join(left, "a").select(
+            "a", "b", (F.size("left") + F.size("right")).alias("both"), F.size(F.array_intersect("left", "right")).alias("common"))
+        likeness = F.col("common") / (F.col("both") - F.col("common"))
+        new = stored(found.filter(likeness >= self.threshold).select("a", "b"), "near-links")
         self.links = new if self.links is None else self.links.unionByName(new)
         self.labels = components(self.links)
 
-    def placed(self) -> DataFrame:
-        """The buckets with the class of each node; a node without links is its own."""
+    def labelled(self, rows: DataFrame, node: str, label: str) -> DataFrame:
+        """``rows`` with the class of ``node``; a node without links is its own."""
         if self.labels is None:
-            return self.buckets.withColumn("label", F.col("node"))
-        return self.buckets.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def hub_pairs(self, pick: Column) -> DataFrame:
-        """The nodes of a bucket with its hub, the node of the smallest ``pick``, where their classes differ."""
-        rows = self.placed()
-        hubs = rows.groupBy("band", "value").agg(F.min(F.struct(
-            pick.alias("pick"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))).alias("h"))
-        apart = rows.join(hubs, ["band", "value"]).filter(F.col("label") != F.col("h.hub_label"))
-        return apart.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b"))
-
-    def rest(self) -> DataFrame:
-        """Pairs of different classes that share one of their rarest elements, of all nodes in buckets of several classes."""
-        rows = self.placed()
+            return rows.withColumn(label, F.col(node))
+        names = self.labels.select(F.col("node").alias("_of"), F.col("label").alias("_label"))
+        return (rows.join(names, F.col(node) == F.col("_of"), "left")
+                    .withColumn(label, F.coalesce("_label", node)).drop("_of", "_label"))
+
+    def first_hub_pairs(self) -> DataFrame:
+        """Each node with the hub, of those near in size, that meets most nodes."""
+        near = self.hubs.filter(self.near_in_size("n", "hub_n"))
+        best = near.groupBy("node").agg(F.max(F.struct("met", "hub"))["hub"].alias("hub"))
+        return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+    def other_hub_pairs(self) -> DataFrame:
+        """The nodes with all hubs of their buckets, near in size, where classes differ."""
+        near = self.hubs.filter(self.near_in_size("n", "hub_n"))
+        apart = self.labelled(self.labelled(near, "node", "label"), "hub", "hub_label").filter("label != hub_label")
+        return apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+    def rest_pairs(self) -> DataFrame:
+        """Pairs of different classes that can be alike, of all nodes in buckets of several classes.
+
+        Elements are ordered from rare to common.  If two sets first meet at places i and j
+        of theirs, they share no more than the shorter of what follows; a pair whose bound is
+        below what the threshold asks for is left out, and so is a meeting of a pair that
+        could not be its first.  Within an element's largest class no pairs are formed.
+        """
+        rows = self.labelled(self.buckets, "node", "label")
         split = (rows.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                      .filter("low < high").select("band", "value"))
-        nodes = stored(rows.join(split, ["band", "value"], "left_semi").select("node", "label", "signs").dropDuplicates(["node"]), "near-rest")
-        texts = self.texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = stored(texts.select(F.col("doc_id").alias("node"), self.elements("text").alias("elements")), "near-elements")
-        rows = sets.select("node", F.size("elements").alias("n"), F.explode("elements").alias("element"))
-        common = rows.groupBy("element").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
-        rows = rows.join(common, "element", "left").groupBy("node", "n").agg(
-            F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "element"))).alias("ranked"))
-        # A set shares at least t * n of its n elements with a smaller one and 2 t / (1 + t) * n with one of at
-        # least its size; 1e-6 allows for rounding.
-        both = 2 * self.threshold / (1 + self.threshold)
-        longer, shorter = ((F.col("n") - F.ceil(F.col("n") * t - 1e-6) + 1).cast("int") for t in (self.threshold, both))
-        rows = rows.select("node", "n", shorter.alias("shorter"), F.posexplode(F.slice("ranked", F.lit(1), longer)).alias("rank", "e"))
-        rows = rows.filter("e.seen > 1").select("node", "n", (F.col("rank") < F.col("shorter")).alias("early"), "e.element")
-        rows = stored(rows.join(nodes, "node"), "near-rarest")
-        x, y = rows.alias("x"), rows.filter("early").alias("y")
-        larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") > F.col("y.node")))
-        return x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & larger
-                      & (F.col("y.n") >= self.threshold * F.col("x.n") - 1e-6)
-                      & (unequal("x.signs", "y.signs") <= MAX_UNEQUAL)).select(
+        nodes = stored(rows.join(split, ["band", "value"], "left_semi").groupBy("node").agg(F.any_value("label").alias("label")), "near-rest")
+        rows = self.sets.join(nodes, "node").select("node", "label", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+        rows = stored(rows, "near-elements")
+        seen = rows.groupBy("element", "label").agg(F.count(F.lit(1)).alias("seen"))
+        seen = seen.groupBy("element").agg(F.sum("seen").alias("seen"), F.max(F.struct("seen", "label"))["label"].alias("most"),
+                                           F.count(F.lit(1)).alias("classes")).filter("seen > 1")
+        ranked = rows.join(seen, "element", "left").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct(
+            F.coalesce("seen", F.lit(1)).alias("seen"), "element", "most", F.coalesce("classes", F.lit(1)).alias("classes")))).alias("ranked"))
+        # A set shares at least t * n of its n elements with any other, so it meets it within the rest of its rarest.
+        early = (F.col("n") - F.ceil(F.col("n") * self.threshold - 1e-6) + 1).cast("int")
+        found = ranked.select("node", "label", "n", F.posexplode(F.slice("ranked", F.lit(1), early)).alias("rank", "e"))
+        found = stored(found.filter("e.classes > 1").select(
+            "node", "label", "n", (F.col("n") - F.col("rank")).alias("left"), "e.element",
+            (F.col("label") != F.col("e.most")).alias("minor")), "near-rarest")
+        x, y = found.alias("x"), found.filter("minor").alias("y")
+        share = self.threshold / (1 + self.threshold)
+        can_reach = F.least("x.left", "y.left") >= share * (F.col("x.n") + F.col("y.n")) - 1e-6
+        once = ~F.col("x.minor") | (F.col("x.node") < F.col("y.node"))      # a pair of two minor rows is met from one side
+        return x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label"))
+                      & self.near_in_size("x.n", "y.n") & can_reach & once).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
+def _row_key() -> Column:
+    """With doc_id this tells the rows of ``docs`` apart by their text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def classified(docs: DataFrame, threshold: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+    """(doc_id, row_key, set_key, class) per row of ``docs``: ``class`` is the smallest set_key of its near-duplicates."""
+    text = F.coalesce("text", F.lit(""))
+    sketches = stored(docs.select("doc_id", _row_key().alias("row_key"), sketch_udf(weighted)(text).alias("s"))
+                          .select("doc_id", "row_key", "s.*"), "near-sketches")
+    nodes = sketches.groupBy(F.col("set_key").alias("node")).agg(
+        F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.min(F.struct("doc_id", "row_key")).alias("row"))
+    nodes = stored(nodes, "near-nodes")
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
+    shared = banded.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    buckets = stored(banded.join(shared.select("band", "value"), ["band", "value"], "left_semi"), "near-banded")
+    # The sets of the nodes in buckets, each from one of its texts: the texts meet the names of those rows once.
+    named = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(
+        F.col("row.doc_id").alias("_id"), F.col("row.row_key").alias("_key"))
+    chosen = docs.select("doc_id", text.alias("text")).join(
+        named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    sets = chosen.select(elements_udf(weighted)(F.col("text")).alias("s")).select(F.col("s.set_key").alias("node"), F.col("s.elements"))
+    sets = stored(sets.dropDuplicates(["node"]), "near-sets")
+    search = _Search(buckets, sets, threshold)
+    search.compare_pairs(search.first_hub_pairs())
+    search.compare_pairs(search.other_hub_pairs())
+    search.compare_pairs(search.rest_pairs())
+    classes = search.labelled(nodes.select("node"), "node", "class").withColumnRenamed("node", "set_key")
+    return sketches.select("doc_id", "row_key", "set_key").join(classes, "set_key")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """(doc_id, set_key, class_id) per row of ``docs`` (doc_id, text): its class of near-duplicates.
 
     Two documents are linked if the Jaccard similarity of their five-word shingle sets
     (of the counted shingles if ``weighted``) is at least ``threshold``; classes are the
     connected components and ``class_id`` is their smallest doc_id.  Texts with one
-    shingle set are one node, so copies are never paired.  Texts without words are
-    copies of each other.  Rows without doc_id take part under a negative number made
-    of their shingle set.  doc_id is taken to name one text.
+    shingle set are one node, so copies are never paired.  Texts without words, null and
+    empty ones too, are copies of each other.  A text of any length is one set of its own size.
+
+    Rows are told apart by doc_id and text, so a repeated doc_id may name several texts.
+    Where two classes have one smallest doc_id, one of them has that number, and the others,
+    like classes whose rows have no doc_id, have a number below all doc_ids and 0 that is
+    made of their sets; doc_ids are taken to be above -2 ** 62.  Other columns are not carried; an empty table gives no rows.
     """
-    text = F.coalesce("text", F.lit(""))
-    sketches = stored(docs.select("doc_id", sketch_udf(weighted)(text).alias("s")).select("doc_id", "s.*"), "near-sketches")
-    spare = -F.abs(F.xxhash64("set_key") % F.lit(2 ** 62)) - 1
-    nodes = stored(sketches.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"),
-                                                      F.any_value("signs").alias("signs"))
-                           .withColumn("node", F.coalesce("node", spare)), "near-nodes")
-    banded = nodes.select("node", "signs", F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    buckets = stored(banded.join(shared.select("band", "value"), ["band", "value"], "left_semi"), "near-buckets")
-    keyed = docs.select("doc_id", text.alias("text"))
-    if not sketches.filter(F.col("doc_id").isNull()).isEmpty():
-        lost = sketches.filter(F.col("doc_id").isNull()).select("set_key").distinct()
-        unnamed = docs.filter(F.col("doc_id").isNull()).select(text.alias("text")).distinct()
-        unnamed = unnamed.withColumn("set_key", sketch_udf(weighted)(F.col("text"))["set_key"]).join(lost, "set_key", "left_semi")
-        keyed = keyed.filter(F.col("doc_id").isNotNull()).unionByName(unnamed.select(spare.alias("doc_id"), "text"))
-    search = _Search(buckets, keyed, threshold, weighted)
-    search.compare_pairs(search.hub_pairs(F.col("node")))
-    search.compare_pairs(search.hub_pairs(F.xxhash64("node", "band")))
-    search.compare_pairs(search.rest())
-    labels = search.labels.withColumnRenamed("node", "of")
-    classes = nodes.join(labels, F.col("node") == F.col("of"), "left").select(
-        "set_key", F.coalesce("label", "node").alias("class_id"))
-    return sketches.select("doc_id", "set_key").join(classes, "set_key")
+    found = stored(classified(docs, threshold, weighted), "near-classes")
+    first = found.groupBy("class").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("row"))
+    owners = first.filter("row is not null").groupBy("row.doc_id").agg(F.min("class").alias("owner"))
+    lowest = F.least(F.lit(0), F.coalesce(found.agg(F.min("doc_id")).scalar(), F.lit(0)))
+    made = lowest - 1 - F.pmod(F.xxhash64("class"), F.lit(2 ** 61))
+    named = (first.select("class", F.col("row.doc_id").alias("lowest_id"))
+                  .join(owners.withColumnRenamed("doc_id", "lowest_id"), "lowest_id", "left")
+                  .select("class", F.when(F.col("owner") == F.col("class"), F.col("lowest_id")).otherwise(made).alias("class_id")))
+    return found.join(named, "class").select("doc_id", "set_key", "class_id")
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """One row of ``docs`` for each class of near-duplicates: that of the smallest doc_id.
+    """One row of ``docs`` for each class of near-duplicates: that of the smallest doc_id, null last.
 
-    Columns and their names stay.  Of repeated rows one stays.
+    Columns and their names stay.  Of rows with equal doc_id and text one stays.
     """
-    found = stored(near_duplicates(docs, threshold, weighted), "near-classes")
-    keep = found.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    x = fresh(docs, "kept_id")
-    named = docs.join(keep.withColumnRenamed("kept_id", x), F.col("doc_id") == F.col(x), "left_semi").dropDuplicates(["doc_id"])
-    if found.filter(F.col("doc_id").isNull()).isEmpty():
-        return named
-    alone = found.filter(F.col("doc_id").isNull() & (F.col("class_id") < 0)).select("class_id").distinct()
-    key = fresh(docs, "set_key")
-    unnamed = docs.filter(F.col("doc_id").isNull()).withColumn(
-        key, sketch_udf(weighted)(F.coalesce("text", F.lit("")))["set_key"])
-    unnamed = unnamed.dropDuplicates([key]).join(
-        alone, -F.abs(F.xxhash64(key) % F.lit(2 ** 62)) - 1 == F.col("class_id"), "left_semi").drop(key)
-    return named.unionByName(unnamed)
+    found = classified(docs, threshold, weighted)
+    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("row"))
+    kept = kept.select(F.col("row.doc_id").alias("_id"), F.col("row.row_key").alias("_key"))
+    key = fresh(docs, "row_key")
+    rows = docs.withColumn(key, _row_key())
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows[key] == kept["_key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)

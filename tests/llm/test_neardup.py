@@ -54,6 +54,56 @@ def test_classes_against_all_pairs(spark):
     assert got == brute_classes(rows)
 
 
+def test_recall_on_near_copies(spark):
+    """All pairs of 0.8 and more in larger groups end in one class, and no class holds more than they link."""
+    rng = random.Random(11)
+    texts = [t for s in range(20, 26) for t in near_copies(s, 60, 9)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 20
+    linked = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)
+    assert all(want[a] == want[b] for a in got for b in got if got[a] == got[b])
+
+
+def test_repeated_ids_keep_every_text(spark):
+    """A doc_id names several texts: classes are of texts, and each class keeps one row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, c), (3, b), (None, "z y x w v u"), (None, a), (None, None), (3, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and len({r["class_id"] for r in got}) == 5 == len({(r["set_key"]) for r in got})
+    assert {r["class_id"] for r in got if r["doc_id"] == 2} == {2} and min(r["class_id"] for r in got) < 0
+    kept = sorted(map(str, map(tuple, neardup.without_near_duplicates(df).collect())))
+    assert kept == sorted(map(str, [(1, a), (1, b), (2, c), (None, "z y x w v u"), (None, None)]))
+
+
+def test_weighted_classes(spark):
+    """Counted shingles: a text and one that repeats half of it have one set but not one weight."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:30] + words[:30])), (3, " ".join(words[:38] + ["x"])), (4, " ".join(words * 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    counted = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, weighted=True).collect()}
+    assert plain == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert counted == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_the_rest_finds_what_hubs_miss(spark):
+    """Links between nodes of which none is a hub, by the rarest elements alone."""
+    texts = near_copies(31, 30, 12)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = rows.select(neardup.elements_udf(False)("text").alias("s"), "doc_id").select("doc_id", "s.*")
+    found = {r["doc_id"]: (bytes(r["set_key"]), set(r["elements"])) for r in sets.collect()}
+    buckets = sets.selectExpr("set_key as node", "cast(size(elements) as long) as n", "1 as band", "7L as value")
+    search = neardup._Search(buckets, sets.selectExpr("set_key as node", "elements"), 0.8)
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in search.rest_pairs().collect()}
+    want = {tuple(sorted((x, y))) for x, a in found.values() for y, b in found.values() if x < y and len(a & b) >= 0.8 * len(a | b)}
+    assert want and want <= got and len(got) < 30 * 29 / 2
+
+
 def test_edges(spark, edge, empty, clashing):
     rows = neardup.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and all(r["class_id"] is not None for r in rows)
