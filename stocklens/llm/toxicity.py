@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -36,7 +37,7 @@ SHORTEST = 0.1          # added to the squared length of a row, so that rows of
 CLASSES = 32            # 0 none, 1-26 letters, 27 between words, 28 between texts, 29-31 other alphabets
 BETWEEN, APART, DROPPED = 27, 28, 255
 WORDS = 3               # words of a window, at most
-CHUNK = 300_000         # characters worked on at once; longer texts are cut between words
+CHUNK = 150_000         # characters worked on at once, in about 250 bytes each; longer texts are cut between words
 NO_WORDS = -1.5         # decision for a text without words
 MAX_TRAINING_DOCS = 20_000
 MAX_UNITS, MAX_OTHER_UNITS, LANDMARKS = 600, 3_000, 400
@@ -430,12 +431,25 @@ def windows_of(text: Column, bits=None) -> Column:
     return found(text)
 
 
+class OneByOne:
+    """The texts of an Arrow array; each becomes a Python text when its turn comes, not all at once."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self):
+        return (t.as_py() for t in self.texts)
+
+
 def worst_window(text: Column, model) -> Column:
     """Struct (worst, row): the largest decision of a text's windows and that window; ``model`` is a broadcast Model."""
-    @F.pandas_udf("worst double, row string")
-    def worst(texts: pd.Series) -> pd.DataFrame:
-        value, row = model.value.worst(texts)
-        return pd.DataFrame({"worst": np.array(value, dtype="float64"), "row": pd.Series(row, dtype=object)})
+    @F.arrow_udf("struct<worst: double, row: string>")
+    def worst(texts: pa.Array) -> pa.Array:
+        value, row = model.value.worst(OneByOne(texts))
+        return pa.StructArray.from_arrays([pa.array(value, pa.float64()), pa.array(row, pa.string())], ["worst", "row"])
 
     return worst(text)
 
