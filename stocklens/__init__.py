@@ -8,6 +8,7 @@ from .operators.filters import (
 from .operators.aggregates import (
     distinct_values, item_attributes, region_choices, stock_by_item_store, stock_by_reference, stock_cells,
 )
+from .operators.collation import collate_keys, collate_tables, plain_texts
 from .operators.groups import duplicate_flag, last_movement, order_by_reference, with_scope_totals
 from .operators.joins import (
     attributes_with_totals, brand_lookup, item_dimension, label_by_table, movements, positive_items, positive_keys,

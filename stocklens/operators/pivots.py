@@ -9,6 +9,7 @@ store dimension, to avoid a pass over the data.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ from .aggregates import item_attributes
 from .filters import drop_empty_rows, positive_total, scope
 from .joins import attributes_with_totals
 
+WIDTH = 64       # sums of one aggregate
+
+
 def distinct_labels(df: DataFrame, label: Column) -> list[str]:
     """Labels present in the data, sorted; bounded like Spark's own pivot."""
     bound = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
@@ -55,8 +59,8 @@ def item_sums(df: DataFrame, label: Column, labels: Sequence[str],
     """One row per item: a stock sum per label (0 where absent) and named totals.
 
     ``totals`` maps a name to the condition, over ``_label``, of the rows it sums.
-    Rows are summed per item and label first, so the wide sums see a few rows per
-    item and the plan is the same for any number of labels.
+    Sums are combined on the map side and shuffled once, by item.  Every row meets every
+    sum of its aggregate, so columns are cut into groups of ``WIDTH``, joined by item.
     """
     clash = {ITEM_KEY, *totals} & set(labels)
     if clash:
@@ -64,12 +68,12 @@ def item_sums(df: DataFrame, label: Column, labels: Sequence[str],
     rows = (df.filter(F.col(ITEM_KEY).isNotNull())
               .select(ITEM_KEY, STOCK, label.alias("_label"))
               .filter("_label is not null"))
-    cells = rows.groupBy(ITEM_KEY, "_label").agg(F.sum(STOCK).alias(STOCK))
     sums = [F.sum(F.when(cond, F.col(STOCK))).alias(n) for n, cond in totals.items()]
     # SQL text: one call per column when the plan is built
-    cases = [F.expr(f"sum(case when _label = {text_literal(v)} then {STOCK} end) as {backticked(v)}")
+    sums += [F.expr(f"sum(case when _label = {text_literal(v)} then {STOCK} end) as {backticked(v)}")
              for v in labels]
-    return cells.groupBy(ITEM_KEY).agg(*cases, *sums).na.fill(0)
+    groups = [rows.groupBy(ITEM_KEY).agg(*sums[at:at + WIDTH]) for at in range(0, len(sums), WIDTH)]
+    return reduce(lambda a, b: a.join(b, ITEM_KEY), groups).na.fill(0)
 
 
 def _needed(df: DataFrame, *extra: str) -> None:

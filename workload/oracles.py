@@ -355,6 +355,15 @@ SELECTS = {
     "j8_catalog_left_join": f"select {TRIM}, Descuento_Catalogo, Casa_matriz_Total from ({_with_catalog('v1')})",
     "a1_stock_by_item_store": "select * from por_tienda",
     "a1_stock_by_shared_item": "select * from por_tienda",
+    "k19_collated_shared_item": """
+      select * replace (upper(referencia) as referencia, upper(codigo_marca) as codigo_marca, upper(codigo_barra) as codigo_barra,
+        upper(nombre_marca) as nombre_marca, upper(nombre) as nombre, upper(fabricante) as fabricante,
+        upper(codigo_sublinea) as codigo_sublinea, upper(nombre_sublinea) as nombre_sublinea,
+        upper(nombre_categoria_principal) as nombre_categoria_principal, upper(nombre_categoria) as nombre_categoria,
+        upper(nombre_tienda) as nombre_tienda, upper(status) as status) from por_tienda""",
+    "k19_collated_view": f"""
+      select {_view_columns(HOUSE_REGIONS, 'Casa_matriz_Total')}
+      from ({_flagged(f"({_with_catalog('(' + _house('limpia') + ')')})")})""",
     "a2_positive_keys": "select distinct Referencia, CodigoMarca from etiquetado where Existencia_Total > 0",
     "a3_stock_by_reference": """
       select Referencia, sum(Existencia_Total) as Existencia_Total from foto

@@ -499,6 +499,38 @@ def a1_stock_by_shared_item(spark, sf):
     return sl.stock_by_item_store(shared_items(spark, sf))
 
 
+def other_spelling(name: str):
+    """A text in lower case with a blank behind it: the same key to the warehouse's database."""
+    return F.concat(F.lower(name), F.lit("  ")).alias(name)
+
+
+@query
+def k19_collated_shared_item(spark, sf):
+    """A1 over items whose descriptions differ in case and trailing blanks alone."""
+    tables = shared_items(spark, sf)
+    texts = [c for c, kind in tables["dim_item"].dtypes if kind == "string"]
+    respelled = tables["dim_item"].select("item_id", *[
+        F.when((F.col("item_id") % 2 == 1) & (F.col("item_id") > 1), other_spelling(c)).otherwise(F.col(c)).alias(c) for c in texts])
+    stock = sl.plain_texts(sl.stock_by_item_store(sl.collate_tables({**tables, "dim_item": respelled})))
+    return stock.select(*[F.upper(F.rtrim(c)).alias(c) if kind == "string" else c for c, kind in stock.dtypes])
+
+
+@query
+def k19_collated_view(spark, sf):
+    """J2, J6, J8, P4: movements, rules, categories and catalog spell their keys in another way than the items."""
+    tables = fixture_tables(spark, sf)
+    items, lines = tables["op_item"], tables["dim_category"]
+    keys = ("codigo_barra", "codigo_marca", "codigo_categoria", "codigo_fabricante")
+    # A blank behind the reference would stand inside the item key, where it counts.
+    tables["op_item"] = items.select(*[other_spelling(c) if c in keys else c for c in items.columns]).withColumn(
+        "referencia", F.lower("referencia"))
+    tables["dim_category"] = lines.select(*[other_spelling(c) if c in ("category_id", "nombre_sublinea") else c for c in lines.columns])
+    listed = catalog(spark, sf).withColumn("Concatenar", other_spelling("Concatenar"))
+    rows = sl.stock_snapshot(sl.collate_tables(tables), RULES, statuses=STATUSES, unique_items=True, ordered=False)
+    view = sl.plain_texts(sl.stock_view(rows, VIEW_HOUSE, sl.collate_keys(listed, ["Concatenar"]), HOUSE_REGIONS, flag_duplicates=True))
+    return view.withColumn("Linea", F.upper(F.rtrim("Linea")))
+
+
 @query
 def a2_positive_keys(spark, sf):
     return sl.positive_keys(store_rows(spark, sf))
