@@ -26,6 +26,7 @@ from .sources.cache import Snapshot
 from .sources.catalog import as_catalog, load_catalog
 from .sources.contents import column_checksums
 from .sources.layout import store_by_item
+from .sources.search import GramIndex
 from .sources.sinks import EmptyViewError, discount_report, export_columns, export_view, split_columns
 from .sources.tables import load_sources, load_table, load_warehouse, strip_columns
 from .sources.versions import KeptSnapshot, RangedTable

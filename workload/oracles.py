@@ -310,6 +310,9 @@ SELECTS = {
     "f10_main_house_stock_range": f"select {TRIM}, Casa_matriz_Total from v1 where Casa_matriz_Total between 1 and 11",
     "f11_value_search": """
       select distinct Referencia from foto where lower(Referencia) like '%ring%' order by Referencia""",
+    "f11_gram_search": " union all ".join(
+        f"select distinct '{t}' as texto, Referencia from foto where lower(Referencia) like '%{t.lower()}%'"
+        for t in ("RING", "in", "G", "ring ")),
     "f12_catalog_match": f"""
       select {TRIM}, Descuento_Catalogo, Casa_matriz_Total from ({_with_catalog('v3')})
       where Descuento_Catalogo = Descuento""",

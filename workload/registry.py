@@ -390,6 +390,14 @@ def f11_value_search(spark, sf):
     return sl.value_search(rows(spark, sf), "Referencia", "RING")
 
 
+@query
+def f11_gram_search(spark, sf):
+    """The same search, and shorter ones, on an index of letter runs."""
+    index = sl.GramIndex(spark, scratch_path(spark, "grams"), "Referencia").build(rows(spark, sf))
+    found = [index.search(text).select(F.lit(text).alias("texto"), "Referencia") for text in ("RING", "in", "G", "ring ")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def f12_catalog_match(spark, sf):
     view = sl.with_catalog(v3(spark, sf), catalog(spark, sf))
