@@ -95,11 +95,10 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, containment: fl
         own = F.floor(at / stride).cast("int")
         return F.filter(F.array(own - 1, own), lambda w: w >= 0)
 
-    numbers = F.array_distinct(F.flatten(F.transform("hits", lambda p: windows_of(p["at"]))))
-    rows = found.select("doc_id", "text_key", "hits", F.explode(numbers).alias("window"))
-    inside = F.filter("hits", lambda p: (p["at"] >= F.col("window") * stride)
-                      & (p["at"] < (F.col("window") + 2) * stride))
-    rows = rows.select("doc_id", "text_key", "window", inside.alias("hits"))
+    # Each hit goes to its two windows, so a long text's windows are worked on apart and in linear time.
+    places = found.select("doc_id", "text_key", F.explode("hits").alias("p"))
+    places = places.select("doc_id", "text_key", "p", F.explode(windows_of(F.col("p.at"))).alias("window"))
+    rows = places.groupBy("doc_id", "text_key", "window").agg(F.sort_array(F.collect_list("p")).alias("hits"))
     rows = rows.withColumn("values", F.array_distinct(F.transform("hits", lambda p: p["hash"])))
     marks = templates(spark, notices or NOTICES)
     marks = band_rows(marks, "shingles").select("license", "shingles", "band", "mark")

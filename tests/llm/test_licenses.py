@@ -24,3 +24,20 @@ def test_a_changed_notice_counts_from_the_threshold(spark):
 def test_edges(spark, edge, empty, clashing):
     for df in (edge, empty, clashing):
         assert licenses.scan(df).count() == 0
+
+
+def test_a_long_text_of_notices(spark):
+    """A megabyte of notices: work grows with the text, and every notice is found at its first place."""
+    notices = list(licenses.NOTICES.items())
+    text, rest = [], 1_000_000
+    while rest > 0:
+        for name, notice in notices:
+            text.append(notice)
+            rest -= len(notice)
+    df = spark.createDataFrame([(1, " ".join(text)), (None, notices[0][1]), (1, None), (2, "")], "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    assert {r["license"] for r in got if r["doc_id"] == 1} == set(licenses.NOTICES)
+    assert {r["license"] for r in got if r["doc_id"] is None} == {notices[0][0]}
+    assert all(r["containment"] >= licenses.CONTAINMENT for r in got)
+    first = {r["license"]: r["first_shingle"] for r in got if r["doc_id"] == 1}
+    assert first[notices[0][0]] == 0 and max(first.values()) < 400
