@@ -311,10 +311,11 @@ def exists(files, path: str) -> bool:
     return files.get_file_info(path).type.name != "NotFound"
 
 
-def listed(files, folder: str) -> list[str]:
+def listed(files, folder: str, recursive: bool = False) -> list[str]:
     from pyarrow import fs
 
-    return [f.path for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.is_file]
+    found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=recursive))
+    return [f.path for f in found if f.is_file]
 
 
 def write_workbooks(df: DataFrame, path: str, mode: str = "errorifexists", sheet: str = "Sheet1",

@@ -98,6 +98,31 @@ def test_export_round_trip_and_empty_refusal(spark, tmp_path):
     assert not os.path.exists(target)
 
 
+def test_export_in_one_job_without_copies(spark, tmp_path):
+    """One job, nothing persisted, no staging left; modes keep, add and replace; an empty view changes nothing."""
+    made = spark.sparkContext.accumulator(0)
+    df = spark.range(0, 40, 1, 4)
+    seen = df.rdd.map(lambda r: (made.add(1), r[0])[1]).map(lambda x: (x,)).toDF("id long")
+    path = str(tmp_path / "out")
+    sl.export_view(seen, path, "csv")
+    assert made.value == 40 and seen.storageLevel.useDisk is False
+    with pytest.raises(FileExistsError):
+        sl.export_view(df, path, "csv")
+    sl.export_view(df, path, "csv", "append")
+    assert spark.read.option("header", True).csv(path).count() == 80
+    for mode in ("append", "overwrite"):
+        with pytest.raises(sl.EmptyViewError):
+            sl.export_view(df.filter("id > 99"), path, "csv", mode)
+    assert spark.read.option("header", True).csv(path).count() == 80
+    sl.export_view(df, path, "csv", "overwrite")
+    assert spark.read.option("header", True).csv(path).count() == 40
+    with pytest.raises(Exception, match="stop"):
+        sl.export_view(df.select(F.raise_error(F.lit("stop"))), str(tmp_path / "bad"), "parquet")
+    with pytest.raises(ValueError, match="mode"):
+        sl.export_view(df, path, "csv", "ignore")
+    assert os.listdir(tmp_path) == ["out"]
+
+
 def test_export_columns(spark):
     view = sl.pivot_all_stores(snapshot_frame(spark, random_snapshot(4)))
     data, branch = sl.split_columns(view.columns)
