@@ -10,63 +10,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLOCK = 1_024
 HASH_BITS = 38    # sums of up to 2**25 turns stay within 63 bits
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+KEYS = ("c", "no_c", "t", "no_t", "h1", "h2")
+
 
+def _turn_keys() -> list[Column]:
+    """A turn's conversation, number, role and text as columns without nulls, so that equality is exact."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    return [F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("no_c"),
+            F.coalesce("turn", F.lit(0)).alias("t"), F.col("turn").isNull().alias("no_t"),
+            F.xxhash64(role, text).alias("h1"), F.xxhash64(text, role, F.lit(1)).alias("h2")]
 
-def _sum_before(key: str, order: str) -> Window:
-    return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
+def _later_blocks(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """For blocks behind a conversation's first: the sums of ``values`` over the blocks before.
 
-def _offsets(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Per conversation and block: the sums of ``values`` over earlier blocks."""
-    sums = rows.groupBy("conv_id", "block").agg(*[F.sum(v).alias(k) for k, v in values.items()])
-    earlier = _sum_before("conv_id", "block")
-    return sums.select(F.struct("conv_id", "block", *[
-        F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in values]).alias("at"))
+    The windows see a row for each block.  Conversations of one block, most of them, have
+    no row here, so the join with this table is small.
+    """
+    sums = rows.groupBy("c", "no_c", "block").agg(*[F.sum(v).alias(k) for k, v in values.items()])
+    order = Window.partitionBy("c", "no_c").orderBy("block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("c", "no_c")
+    sums = sums.select("c", "no_c", "block", *[F.sum(k).over(earlier).alias(k) for k in values],
+                       F.max("block").over(whole).alias("last_block"), F.min("block").over(whole).alias("first_block"))
+    return sums.filter("first_block < last_block").drop("first_block").select(
+        F.col("c").alias("lc"), F.col("no_c").alias("ln"), F.col("block").alias("lb"), "last_block",
+        *[F.coalesce(k, F.lit(0)).alias(f"{k}_before") for k in values])
 
 
-def _with_offsets(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-    return rows.join(_offsets(rows, values), F.col("conv_id").eqNullSafe(F.col("at.conv_id"))
-                     & F.col("block").eqNullSafe(F.col("at.block")))
+def _joined(rows: DataFrame, later: DataFrame) -> DataFrame:
+    return rows.join(later, (F.col("c") == F.col("lc")) & (F.col("no_c") == F.col("ln")) & (F.col("block") == F.col("lb")),
+                     "left").drop("lc", "ln", "lb")
 
 
 def turn_prefixes(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, h1, h2, position, p1, p2): each turn with its prefix's hashes.
+    """Rows (conv_id, c, no_c, t, no_t, h1, h2, position, p1, p2, last): each turn with its prefix's hashes.
 
     Turns are ordered by turn (null first), then by the hash of role and text; a turn
     logged twice (same conv_id, turn, role and text) counts once.  Null role or text
-    counts as empty, null conv_id as a conversation of its own.  Positions and prefix
-    sums are taken block-wise, so a conversation of any length is spread over tasks.
+    counts as empty, null conv_id as a conversation of its own.  ``last`` marks a
+    conversation's last turn.  Positions and prefix sums are taken block-wise, so a
+    conversation of any length is spread over tasks; turns that are sparse make small
+    blocks, turns without a number share one.  Both tables are stored without texts.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = conversations.select(
-        "conv_id", "turn", F.xxhash64(role, text).alias("h1"), F.xxhash64(text, role, F.lit(1)).alias("h2")).distinct()
-    turns = turns.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "h1", "h2")
-    rows = _with_offsets(turns, {"n": F.lit(1)}).select(
-        "conv_id", "block", "turn", "h1", "h2",
-        (F.col("at.n") + F.row_number().over(inside)).alias("position"))
+    turns = conversations.select("conv_id", *_turn_keys())
+    turns = turns.withColumn("block", F.when(F.col("no_t"), F.lit(-(2 ** 62))).otherwise(F.floor(F.col("t") / BLOCK)))
+    turns = turns.dropDuplicates(list(KEYS))       # combined on the map side, so a turn logged often is no hot key
+    inside = Window.partitionBy("c", "no_c", "block").orderBy("t", "h1", "h2")
+    turns = stored(turns.withColumn("at", F.row_number().over(inside)), "chat-turns")
+    rows = _joined(turns, _later_blocks(turns, {"n": F.lit(1)}))
+    rows = rows.withColumn("position", F.col("at") + F.coalesce("n_before", F.lit(0)))
 
     def term(h: str) -> Column:
         return F.shiftrightunsigned(F.xxhash64("position", h), 64 - HASH_BITS)
 
-    running = Window.partitionBy("conv_id", "block").orderBy("position")
-    return _with_offsets(rows, {"p1": term("h1"), "p2": term("h2")}).select(
-        "conv_id", "turn", "h1", "h2", "position",
-        *[(F.col(f"at.{p}") + F.sum(term(h)).over(running)).alias(p) for p, h in (("p1", "h1"), ("p2", "h2"))])
+    later = _later_blocks(rows.drop("last_block", "n_before"), {"p1": term("h1"), "p2": term("h2")})
+    block = Window.partitionBy("c", "no_c", "block").orderBy("position")
+    rows = rows.drop("last_block", "n_before").select(
+        "*", F.sum(term("h1")).over(block).alias("p1"), F.sum(term("h2")).over(block).alias("p2"),
+        F.lead("position").over(block).isNull().alias("ends_block"))
+    rows = _joined(rows, later)
+    return stored(rows.select("conv_id", *KEYS, "position", *[
+        (F.col(p) + F.coalesce(f"{p}_before", F.lit(0))).alias(p) for p in ("p1", "p2")],
+        (F.col("ends_block") & (F.col("block") == F.coalesce("last_block", "block"))).alias("last")), "chat-prefixes")
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
     """(conv_id, n_turns) of the conversations that no longer one begins with."""
-    ends = prefixes.groupBy("conv_id").agg(F.max("position").alias("n_turns"))
-    tagged = prefixes.join(ends.withColumnRenamed("conv_id", "end_id"), F.col("conv_id").eqNullSafe(F.col("end_id")))
-    whole = (tagged.filter("position = n_turns").groupBy("n_turns", "p1", "p2")
-                   .agg(F.min(F.struct("conv_id")).alias("first")))
-    proper = tagged.filter("position < n_turns").select("position", "p1", "p2").distinct()
-    kept = whole.alias("w").join(proper.alias("q"), (F.col("w.n_turns") == F.col("q.position"))
-                                 & (F.col("w.p1") == F.col("q.p1")) & (F.col("w.p2") == F.col("q.p2")), "left_anti")
+    whole = (prefixes.filter("last").groupBy(F.col("position").alias("n_turns"), "p1", "p2")
+                     .agg(F.min(F.struct("conv_id")).alias("first")))
+    proper = prefixes.filter("not last").select(F.col("position").alias("n_turns"), "p1", "p2").distinct()
+    kept = whole.join(proper, ["n_turns", "p1", "p2"], "left_anti")
     return kept.select(F.col("first.conv_id").alias("conv_id"), "n_turns")
 
 
@@ -88,16 +107,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     are not carried; an empty table gives no rows.  A null role renders as ``unknown``.
     """
     prefixes = turn_prefixes(conversations)
-    kept = maximal_conversations(prefixes)
-    places = prefixes.select("conv_id", "turn", "h1", "h2", "position").alias("p").join(
-        kept.alias("k"), F.col("p.conv_id").eqNullSafe(F.col("k.conv_id"))).select(
-        "p.*", "k.n_turns").alias("p")
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    texts = conversations.select(
-        "conv_id", "turn", rendered_turn(F.col("role"), F.col("text")).alias("rendered"),
-        F.xxhash64(role, text).alias("h1"), F.xxhash64(text, role, F.lit(1)).alias("h2"))
-    texts = texts.dropDuplicates(["conv_id", "turn", "h1", "h2"]).alias("t")
-    return texts.join(places, F.col("t.conv_id").eqNullSafe(F.col("p.conv_id"))
-                      & F.col("t.turn").eqNullSafe(F.col("p.turn"))
-                      & (F.col("t.h1") == F.col("p.h1")) & (F.col("t.h2") == F.col("p.h2"))).select(
-        "t.conv_id", "p.position", "p.n_turns", "t.rendered")
+    kept = maximal_conversations(prefixes).select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("no_c"), "n_turns")
+    places = prefixes.join(kept, ["c", "no_c"]).select(*KEYS, "position", "n_turns")
+    texts = conversations.select("conv_id", *_turn_keys(), rendered_turn(F.col("role"), F.col("text")).alias("rendered"))
+    return (texts.dropDuplicates(list(KEYS)).join(places, list(KEYS))
+                 .select("conv_id", "position", "n_turns", "rendered"))
