@@ -51,11 +51,13 @@ def main() -> None:
     work = {
         "q1_stock_snapshot": lambda: sl.stock_snapshot(
             tables, RULES, statuses=STATUSES, unique_items=True),
+        "q1_stock_snapshot_default": lambda: sl.stock_snapshot(tables, RULES, statuses=STATUSES),
         "n2_last_movement": lambda: sl.last_movement(moved),
         "v1_pivot_all_stores": lambda: sl.pivot_all_stores(snap, STORE_LABELS),
         "v2_pivot_branches": lambda: sl.pivot_branches(snap, BRANCH_STORES),
         "v3_pivot_main_house": lambda: sl.pivot_main_house(snap, HOUSE_REGIONS),
         "v4_pivot_main_house_share": lambda: sl.pivot_main_house_share(snap, columns=HOUSE_REGIONS),
+        "v_parts_of_all_views": lambda: sl.stock_and_attributes(snap),
         "q2_stock_view": lambda: sl.stock_view(
             snap, VIEW_BRANCHES, catalog, BRANCH_STORES, exclude_brands=reg.EXCLUDED_BRANDS,
             exclude_sublines=reg.EXCLUDED_SUBLINES, exclude_year=2000, promo_only=True, flag_duplicates=True),
