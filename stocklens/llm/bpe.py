@@ -22,6 +22,7 @@ from tokenizers import Tokenizer
 from .chunks import PieceEncoder
 
 
+KEPT_BYTES = 112_000_000   # of kept pieces in a worker, beside the tables of the vocabulary
 NEWER_LETTERS = "\u0500"
 
 
@@ -245,7 +246,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 @lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(vocabulary(path, pattern).encode_pieces)
+    return PieceEncoder(vocabulary(path, pattern).encode_pieces, KEPT_BYTES)
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:

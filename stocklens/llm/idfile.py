@@ -178,9 +178,11 @@ def library_encoder(path: str) -> PieceEncoder:
         chained = [t for t in texts if t[:1] == " " and len(t) > 1 and not t[-1].isspace()]
         chains = [chained[at:at + CHAIN] for at in range(0, len(chained), CHAIN)]
         out = {}
-        for part, ids in zip(chains, ids_of(["".join(part) for part in chains]), strict=True):
+        joined = ["".join(part) for part in chains]
+        for part, text, ids in zip(chains, joined, ids_of(joined), strict=True):
             ends = np.cumsum(token_bytes[ids])
-            want = np.cumsum(np.fromiter((len(t.encode()) for t in part), dtype=np.int64, count=len(part)))
+            sizes = map(len, part) if text.isascii() else (len(t.encode()) for t in part)
+            want = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(part)))
             cuts = np.searchsorted(ends, want, side="left")
             if (ends[np.minimum(cuts, len(ends) - 1)] != want).any():
                 continue                                   # not a byte-level vocabulary

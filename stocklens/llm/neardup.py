@@ -31,7 +31,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5      # two documents of similarity 0.8 share no band once in 14,000 times
 EXTRA_DARTS = 3.0        # a coordinate stays empty, and darts are thrown again, for 5 % of the sets
 FINEST = 12              # rank intervals get no shorter than 2 ** -FINEST
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 
 
 # --- shingles and darts (inside tasks) --------------------------------------------
