@@ -25,6 +25,7 @@ DAY_FIRST = "dd/MM/yyyy"
 # Spellings a date text may have, day first; the first that fits counts.
 DATE_FORMATS = ("d/M/yyyy[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "yyyy-M-d'T'H:mm[:ss]",
                 "d-M-yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "d/M/yy")
+_DATED = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def nonnegative_stock(fact: DataFrame) -> DataFrame:
@@ -92,28 +93,44 @@ def promo_only(df: DataFrame) -> DataFrame:
     return df.filter(number_or_null(df, PROMO) == 1)
 
 
+def _read_date(text: Column, formats: Sequence[str]) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
 def _year_of(df: DataFrame, name: str, formats: Sequence[str]) -> Column:
-    if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(df.schema[name].dataType, _DATED):
         return F.year(quoted(name))
-    text = stripped(quoted(name).cast("string"))
-    return F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
+    return F.year(_read_date(stripped(quoted(name).cast("string")), formats))
 
 
 def _probe_date_column(df: DataFrame, formats: Sequence[str]) -> str | None:
-    """One aggregate over all candidates; the result is a single row."""
-    dated = (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
+    """The first column named as a date that holds one, else the first other with dates in half of the rows.
+
+    A named column is read up to its first date.  Reading a text that is no date costs a
+    failure for each format, so the others are read only if no named column holds a date.
+    """
     named = date_columns(df.columns)
-    others = [f.name for f in df.schema if isinstance(f.dataType, dated)]
-    pool = list(dict.fromkeys(named + others))
-    if not pool:
-        return None
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(_year_of(df, c, formats)).alias(f"c{i}") for i, c in enumerate(pool)]).first()
-    hits = {c: row[f"c{i}"] for i, c in enumerate(pool)}
     for c in named:
-        if hits[c] > 0:
+        if not df.filter(_year_of(df, c, formats).isNotNull()).isEmpty():
             return c
-    return next((c for c in others if row["n"] and hits[c] / row["n"] >= 0.5), None)
+    others = [f.name for f in df.schema if isinstance(f.dataType, (*_DATED, T.StringType)) and f.name not in named]
+    dates = _rows_with_dates(df, others, formats) if others else {}
+    return next((c for c in others if c in dates and dates[c][1] / dates[c][0] >= 0.5), None)
+
+
+def _rows_with_dates(df: DataFrame, names: Sequence[str], formats: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """Rows, and rows with a date, by column, from one pass; each distinct text is read once."""
+    def cell(i: int, name: str) -> Column:
+        text = not isinstance(df.schema[name].dataType, _DATED)
+        return F.struct(F.lit(i).alias("at"),
+                        (stripped(quoted(name).cast("string")) if text else F.lit(None).cast("string")).alias("text"),
+                        (F.lit(False) if text else quoted(name).isNotNull()).alias("dated"))
+
+    values = (df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(names)])))
+                .groupBy("at", "text", "dated").agg(F.count(F.lit(1)).alias("n")))
+    hit = F.col("dated") | _read_date(F.col("text"), formats).isNotNull()
+    found = values.groupBy("at").agg(F.sum("n").alias("rows"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("dates")).collect()
+    return {names[r["at"]]: (r["rows"], r["dates"]) for r in found}
 
 
 def exclude_year(df: DataFrame, year, date_col: str | None = None,
@@ -121,7 +138,8 @@ def exclude_year(df: DataFrame, year, date_col: str | None = None,
     """Drop the rows of one year; rows whose date has none of the spellings stay.
 
     Without ``date_col`` the column is found by name (a year column, then date
-    columns) and content, which costs one aggregate over the data.
+    columns) and content, which costs a pass up to the first date of a column so named; only
+    if there is none, one aggregate over all texts.
     """
     try:
         wanted = int(str(year).strip())

@@ -117,3 +117,20 @@ def test_exclude_year_reads_usual_spellings(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, Fecha string")
     assert keys(sl.exclude_year(rows, 2024, "Fecha")) == [8, 9, 10]
     assert keys(sl.exclude_year(rows, 2024, "Fecha", formats=("dd/MM/yyyy",))) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_exclude_year_reads_no_other_column_behind_a_named_date(spark):
+    fails = F.when(F.col("id") >= 0, F.raise_error(F.lit("read"))).otherwise("x")
+    rows = spark.range(4).select("id", fails.alias("note"), F.concat(F.lit("0"), F.col("id") + 1, F.lit("/02/2024")).alias("Fecha"))
+    assert sl.exclude_year(rows, 2024).select("id").collect() == []
+    assert sl.exclude_year(rows, 2023).select("id").count() == 4
+
+
+def test_exclude_year_counts_rows_of_other_columns(spark):
+    """No named column holds a date: half of the rows decide, repeated texts count each time."""
+    rows = spark.createDataFrame([(1, "x", "a", "1/2/2024"), (2, "x", "1/2/2023", " 1/2/2024"), (3, None, "b", "z"), (4, "x", "c", None)],
+                                 "k int, Fecha string, one string, two string")
+    assert keys(sl.exclude_year(rows, 2024)) == [3, 4] and keys(sl.exclude_year(rows, 2023)) == [1, 2, 3, 4]
+    third = rows.withColumn("three", F.when(F.col("k") > 1, F.lit("2022-05-06").cast("date")))
+    assert keys(sl.exclude_year(third.drop("two"), 2022)) == [1]
+    assert keys(sl.exclude_year(rows.filter("k < 0"), 2024)) == []
