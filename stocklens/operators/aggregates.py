@@ -109,12 +109,15 @@ def item_attributes(df: DataFrame, one_per_item: bool = True,
                     attributes=FIXED_ATTRIBUTES) -> DataFrame:
     """Attribute rows of the items: all distinct ones, or the smallest per item.
 
-    "Smallest" compares the attributes in order with NULL first.
+    "Smallest" compares the attributes in order with NULL first.  A minimum of texts sorts
+    its rows, so it is taken over the distinct ones, which a hash finds.
     """
     require(df, attributes)
     rows = df.filter(F.col(ITEM_KEY).isNotNull()).select(*attributes)
     if not one_per_item:
         return rows.distinct()
+    # Spark leaves out a plain distinct() below a minimum; a condition on its count stays.
+    rows = rows.groupBy(*attributes).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
     rest = [a for a in attributes if a != ITEM_KEY]
     return (rows.groupBy(ITEM_KEY).agg(F.min(F.struct(*rest)).alias("_first"))
                 .select(*[F.col(a) if a == ITEM_KEY else F.col("_first")[a].alias(a)

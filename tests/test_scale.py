@@ -229,3 +229,13 @@ def test_unhinted_joins(spark):
     for name in ("q1_stock_snapshot", "q2_stock_view", "j8_catalog_left_join"):
         logical = reg.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
         assert "ResolvedHint" not in logical
+
+
+def test_first_attributes_sort_distinct_rows_only(spark):
+    """A minimum of texts is a sort aggregate: no sort may see the rows of the snapshot before a hash made them distinct."""
+    rows = spark.createDataFrame([], SNAPSHOT_DDL)
+    with no_broadcast(spark, spark__sql__adaptive__enabled="false"):
+        for df in (sl.item_attributes(rows), sl.pivot_all_stores(rows, ["A - Casa Matriz - T1"])):
+            lines = plan(df).splitlines()
+            minima = [i for i, line in enumerate(lines) if "min(struct" in line or "min(named_struct" in line]
+            assert minima and any("HashAggregate" in line and "count" in line for line in lines[minima[-1] + 1:])
