@@ -8,7 +8,10 @@ from ..names import ITEM_KEY
 
 
 def store_by_item(df: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> DataFrame:
-    """Write ``df`` as a table in ``buckets`` of the item key's hash, each a sorted file, and read it back.
+    """Write ``df`` as a table in ``buckets`` of the item key's hash, in sorted files, and read it back.
+
+    Adaptive execution deals the rows to as many writers as their size needs, so what a
+    writer sorts does not grow with the bucket; a large bucket has several files.
 
     Aggregates, windows and joins by item then run where the rows lie; pass
     ``colocated=True`` to the views and the duplicate flag.  Two tables join without a
@@ -16,6 +19,8 @@ def store_by_item(df: DataFrame, table: str, buckets: int, mode: str = "overwrit
     and a bucket is one task: this suits the snapshot, in which an item has a row for each
     store and flags, and not tables with a hot item.  Rows with a NULL item share one, too.
     """
-    (df.repartition(buckets, ITEM_KEY).write.mode(mode).bucketBy(buckets, ITEM_KEY).sortBy(ITEM_KEY)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A multiple of the buckets: a partition then lies in one bucket, so writers make few files.
+    (df.hint("rebalance", -(-partitions // buckets) * buckets, ITEM_KEY).write.mode(mode).bucketBy(buckets, ITEM_KEY).sortBy(ITEM_KEY)
        .format("parquet").saveAsTable(table))
     return df.sparkSession.table(table)

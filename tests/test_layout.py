@@ -77,3 +77,20 @@ def test_all_views_from_one_scan(spark, loose, tmp_path):
 def test_all_views_of_an_empty_snapshot(spark, loose):
     views = sl.pivot_views(sl.stock_and_attributes(loose.filter(F.lit(False))), {VIEW_ALL: [], VIEW_BRANCHES: ["T1"], VIEW_HOUSE: []})
     assert [v.count() for v in views.values()] == [0, 0, 0]
+
+
+def test_a_large_bucket_has_several_writers(spark):
+    """What a writer sorts is bounded by the advisory size, not by a bucket."""
+    name, key = f"large_{uuid.uuid4().hex}", F.when(F.col("id") % 4 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 900))
+    rows = spark.range(0, 40_000, 1, 8).select(key.alias("Concatenar"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    keep = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        table = sl.store_by_item(rows, name, 2)
+        per_file = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        assert sum(per_file) == 40_000 and len(per_file) >= 8 and max(per_file) < 10_000
+        assert "Exchange" not in plan(table.groupBy("Concatenar").count())
+        assert same(table.groupBy("Concatenar").count(), rows.groupBy("Concatenar").count())
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", keep)
+        spark.sql(f"drop table {name}")
