@@ -122,3 +122,23 @@ def test_views_refuse_filters_that_precede_the_pivot(spark, tmp_path):
     with pytest.raises(ValueError, match="pivot columns"):
         KeptSnapshot(spark, str(tmp_path), None, {"x": (VIEW_ALL, None)})
     assert ITEM_KEY in kept.snapshot().columns and sl.KeptSnapshot is KeptSnapshot
+
+
+def test_a_refresh_runs_the_load_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    state = {"rows": random_rows(7, 60)}
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    kept = KeptSnapshot(spark, str(tmp_path), lambda: frame(spark, state["rows"]).mapInPandas(counted, SNAPSHOT_DDL), VIEWS, ranges=16)
+    kept.refresh()
+    assert seen.value == len(state["rows"])
+    state["rows"] = [r for r in state["rows"] if r[1] != "r5"]
+    before, changed = seen.value, kept.refresh()
+    assert len(changed) == 1 and seen.value - before == len(state["rows"])
+    check_views(kept, frame(spark, state["rows"]))
+    # the files of unchanged ranges are not kept twice
+    assert {p.name for p in (tmp_path / "rows/data/_version=2").glob("_range=*")} <= {f"_range={changed[0]}"}
