@@ -11,6 +11,8 @@ CUT = re.compile(r"(?<=\S)(?= \S)")
 OTHER_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 BATCH_CHARS = 1_000_000
 MAX_KEPT_BYTES = 160_000_000
+ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+NEWER_LETTERS = "\u0500"
 ENTRY_BYTES = 180        # of a kept piece besides its text and ids: two objects and their places in the table
 
 
@@ -36,26 +38,63 @@ def pieces(text: str) -> list[str]:
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece once.
 
-    ``encode`` maps a list of distinct pieces to their ids as bytes.  Kept pieces are
-    bounded by their bytes: beyond ``max_bytes`` the memory starts anew before the next
-    batch, which costs time, not results.
+    ``encode`` maps a list of distinct pieces to their ids as bytes; ``special`` are texts
+    that it takes as one token.  If they are given, a piece that ends in ASCII punctuation
+    behind a letter or digit is made of what stands before that and the punctuation, as no
+    pre-token holds both.
+
+    Kept pieces are bounded by their bytes: beyond half of ``max_bytes`` they become the
+    older half, from which those that are met again are taken over, and the older half
+    before them is dropped, which costs time, not results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], max_bytes: int = MAX_KEPT_BYTES):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], max_bytes: int = MAX_KEPT_BYTES,
+                 special: Iterable[str] | None = None):
         self.encode, self.max_bytes = encode, max_bytes
+        self.special = None if special is None else re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes = 0
 
+    def _keep(self, texts: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(texts, ids, strict=True))
+        self.bytes += ENTRY_BYTES * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
+
+    def _unknown(self, texts: Iterable[str]) -> list[str]:
+        """Those of ``texts`` that are not kept; what the older half has is taken over."""
+        new = set(filterfalse(self.known.__contains__, texts))
+        again = list(filter(self.older.__contains__, new))
+        self._keep(again, list(map(self.older.__getitem__, again)))
+        return list(new.difference(again))
+
+    def _split(self, text: str) -> tuple[str, ...]:
+        if self.special is None:
+            return (text,)
+        stem = text.rstrip(ENDS)
+        last = stem[-1:]
+        if len(stem) < len(text) and last.isalnum() and last < NEWER_LETTERS and not self.special.search(text):
+            return stem, text[len(stem):]
+        return (text,)
+
     def _batch(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        if self.bytes > self.max_bytes:
-            self.known, self.bytes = {}, 0
-        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(cut))))
-        ids = list(self.encode(new))
-        self.known.update(zip(new, ids, strict=True))
-        self.bytes += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, ids))
-        find = self.known.__getitem__
-        return [b"".join(map(find, parts)) for parts in cut]
+        if self.bytes > self.max_bytes / 2:
+            self.known, self.older, self.bytes = {}, self.known, 0
+        # Each piece is looked up once, when it is cut; of a text the ids are held, and the pieces without.
+        find, rows, gaps = self.known.get, [], []
+        for text in texts:
+            parts = pieces(text)
+            rows.append(row := list(map(find, parts)))
+            gaps.append([(i, parts[i]) for i, ids in enumerate(row) if ids is None] if None in row else [])
+        new = self._unknown(piece for missing in gaps for _, piece in missing)
+        split = list(map(self._split, new))
+        whole = self._unknown(chain.from_iterable(split))
+        self._keep(whole, list(self.encode(whole)))
+        ended = [parts for parts in split if len(parts) == 2]
+        self._keep(list(map("".join, ended)), [find(stem) + find(end) for stem, end in ended])
+        for row, missing in zip(rows, gaps, strict=True):
+            for i, piece in missing:
+                row[i] = find(piece)
+        return list(map(b"".join, rows))
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; null counts as empty."""

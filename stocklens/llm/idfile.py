@@ -192,7 +192,7 @@ def library_encoder(path: str) -> PieceEncoder:
         out |= {t: ids.tobytes() for t, ids in zip(alone, ids_of(alone), strict=True)}
         return [out[t] for t in texts]
 
-    return PieceEncoder(encode)
+    return PieceEncoder(encode, special=special)
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, bits: bool = False,
