@@ -9,21 +9,24 @@ words with a failing pair are merged step by step.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 from tokenizers import Tokenizer
 
-from .chunks import PieceEncoder
+from .chunks import NEWER_LETTERS, PieceEncoder
+from .common import OneByOne, in_parts
 
 
-KEPT_BYTES = 112_000_000   # of kept pieces in a worker, beside the tables of the vocabulary
-NEWER_LETTERS = "\u0500"
+KEPT_BYTES = 48_000_000    # of kept pieces in a worker, beside the tables of the vocabulary
+PLAIN = re.compile(r" ?\S+")
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -188,8 +191,8 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return token[order], word[order]
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word: proposed, verified over the whole batch, repaired where needed."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words, and where each word's end: proposed, verified over the whole batch, repaired where needed."""
         token, word = self.propose(words)
         inner = np.flatnonzero(word[1:] == word[:-1])
         pairs, back = np.unique(token[inner] * self.size + token[inner + 1], return_inverse=True)
@@ -203,17 +206,40 @@ class Vocabulary:
             word = np.concatenate([word[~wrong[word]], failed[owner]])
             order = np.argsort(word, kind="stable")
             token, word = token[order], word[order]
-        data = token.astype("<u4").tobytes()
-        ends = (4 * np.searchsorted(word, np.arange(len(words)), side="right")).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return token, np.cumsum(np.bincount(word, minlength=len(words)))
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._pretokens(t) for t in texts]
-        words = list({w for parts in split for w in parts if isinstance(w, bytes)})
-        known: dict[bytes | int, bytes] = dict(zip(words, self.encode_words(words), strict=True))
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Texts without white space but for a space in front are cut into words in one go: a
+        line feed put between two of them is a word of its own.
+        """
+        plain = [t for t in texts if PLAIN.fullmatch(t) and (t.isascii() or max(t) < NEWER_LETTERS)
+                 and not self.special_pattern.search(t)]
+        out = dict(zip(plain, self._encode_plain(plain), strict=True))
+        split = {t: self._pretokens(t) for t in texts if t not in out}
+        words = list({w for parts in split.values() for w in parts if isinstance(w, bytes)})
+        token, ends = self.encode_words(words)
+        data, ends = token.astype("<u4").tobytes(), (4 * ends).tolist()
+        known: dict[bytes | int, bytes] = {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
         known |= {i: np.array([i], dtype="<u4").tobytes() for i in self.special.values()}
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        out |= {t: b"".join(map(known.__getitem__, parts)) for t, parts in split.items()}
+        return [out[t] for t in texts]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        line = self.pattern.findall("\n".join(texts))
+        if not line:
+            return []
+        number = {w: i for i, w in enumerate(dict.fromkeys(line))}
+        word = np.fromiter(map(number.__getitem__, line), dtype=np.int64, count=len(line))
+        token, ends = self.encode_words([w.encode() for w in number])
+        begin = np.concatenate([[0], ends[:-1]])
+        cut = word == number.get("\n", -1)
+        n = np.where(cut, 0, (ends - begin)[word])
+        until = np.cumsum(n)
+        data = token[np.repeat(begin[word] - until + n, n) + np.arange(until[-1])].astype("<u4").tobytes()
+        stops = (4 * np.append(until[cut], until[-1])).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def _pretokens(self, text: str) -> list[bytes | int]:
         """Words as bytes; special tokens, wherever their string stands, as ids."""
@@ -246,18 +272,21 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 @lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(vocabulary(path, pattern).encode_pieces, KEPT_BYTES)
+    known = vocabulary(path, pattern)
+    return PieceEncoder(known.encode_pieces, KEPT_BYTES, known.special)
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text as binary, four little-endian bytes each; empty for null and empty texts.
 
     ``path`` is a byte-level BPE file that every executor can read, ``pattern`` its
-    pre-token pattern.  Texts are encoded whole at any length.
+    pre-token pattern.  Texts are encoded whole at any length, once each: Spark would run
+    a UDF that is no iterator again for every other UDF that takes its ids.
     """
-    @F.pandas_udf(BinaryType())
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_encoder(path, pattern)(texts)), dtype=object)
+    @F.arrow_udf(BinaryType())
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from in_parts(_encoder(path, pattern)(OneByOne(texts)), pa.binary())
 
     return ids(text)
 
@@ -267,9 +296,10 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     Null counts as no ids and gives an empty text.
     """
-    @F.pandas_udf(StringType())
-    def texts(column: pd.Series) -> pd.Series:
+    @F.arrow_udf(StringType())
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = vocabulary(path, pattern).decode
-        return pd.Series([of(i or b"") for i in column], dtype=object)
+        for column in batches:
+            yield from in_parts((of(i or b"") for i in OneByOne(column)), pa.string())
 
     return texts(ids)

@@ -1,7 +1,11 @@
-"""Small helpers shared by the operators: words, fresh names, stored tables."""
+"""Small helpers shared by the operators: words, fresh names, stored tables, Arrow arrays row by row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from ..session import scratch_path
 
 # A word is a run of anything but the space and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
+PART_ROWS = 200     # rows of an Arrow array that a task makes at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +42,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class OneByOne:
+    """The texts of an Arrow array; each becomes a Python text when its turn comes, not all at once."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self):
+        return (t.as_py() for t in self.texts)
+
+
+def in_parts(values: Iterable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """``values`` as Arrow arrays of a few rows each, so that never all of a batch's results are held."""
+    values = iter(values)
+    while part := list(islice(values, PART_ROWS)):
+        yield pa.array(part, kind)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import fresh, stored
+from .common import OneByOne, fresh, stored
 
 THRESHOLD = 0.7
 DECAY = 0.7
@@ -431,19 +431,6 @@ def windows_of(text: Column, bits=None) -> Column:
     return found(text)
 
 
-class OneByOne:
-    """The texts of an Arrow array; each becomes a Python text when its turn comes, not all at once."""
-
-    def __init__(self, texts: pa.Array):
-        self.texts = texts
-
-    def __len__(self) -> int:
-        return len(self.texts)
-
-    def __iter__(self):
-        return (t.as_py() for t in self.texts)
-
-
 def worst_window(text: Column, model) -> Column:
     """Struct (worst, row): the largest decision of a text's windows and that window; ``model`` is a broadcast Model."""
     @F.arrow_udf("struct<worst: double, row: string>")

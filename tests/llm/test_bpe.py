@@ -36,6 +36,37 @@ def test_kept_pieces_are_bounded():
         assert [np.frombuffer(d, "<u4").tolist() for d in encoder(texts(200))] == [library(t) for t in texts(200)]
 
 
+def test_few_kept_pieces_with_cut_ends():
+    v = bpe.vocabulary(VOCABULARY, PATTERN)
+    some = [" word.", "word,%%%", " it's.", "'s'", " a<|endoftext|>.", "x<|endoftext|>", " é!", " 12)", "Ω.", " ՘.", " ²;", "_.", " $."]
+    encoder = bpe.PieceEncoder(v.encode_pieces, max_bytes=2_000, special=v.special)
+    for _ in range(2):
+        for text, got in zip([*some, *texts(400)], encoder([*some, *texts(400)]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library(text), repr(text)
+    assert encoder.older
+
+
+def test_pieces_met_again_are_not_encoded_again():
+    """Of the kept pieces those in use stay when the memory is full, and an end costs no encoding of its word."""
+    v, asked = bpe.vocabulary(VOCABULARY, PATTERN), []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return v.encode_pieces(pieces)
+
+    encoder = bpe.PieceEncoder(encode, max_bytes=4_000, special=v.special)
+    for i in range(40):
+        list(encoder([f"often often, often. now{i} then{i}"]))
+    assert sum(p.strip() == "often" for p in asked) == 2 and len(asked) == 2 + 2 + 80
+
+
+def test_verify_encodes_each_text_once(spark):
+    df = spark.createDataFrame([("a b",)], "text string")
+    ids = bpe.encode(F.col("text"), VOCABULARY, PATTERN)
+    out = df.select(ids.alias("ids")).withColumn("back", bpe.decode(F.col("ids"), VOCABULARY, PATTERN))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ids(text#") == 1
+
+
 def test_pair_check_against_merging():
     v, rng = bpe.vocabulary(VOCABULARY, PATTERN), random.Random(3)
     a = np.array([rng.randrange(50_256) for _ in range(3000)])
