@@ -15,16 +15,18 @@ reach the threshold.  That bound is exact, and only pairs within it are compared
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import fresh, stored
+from .common import OneByOne, fresh, in_parts, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -151,16 +153,16 @@ def sketch_udf(weighted: bool):
     """struct(set_key, n, bands) of a text: the name, the size and the band values of its set."""
     kind = StructType([StructField("set_key", BinaryType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))])
 
-    @F.pandas_udf(kind)
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        keys, sizes, bands = [], [], []
-        for text in texts:
-            elements, counts = shingles(text)
-            weights = counts if weighted else np.ones_like(counts)
-            keys.append(set_key(elements, counts, weighted))
-            sizes.append(int(weights.sum()))
-            bands.append(band_values(signature(elements, weights.astype(float))) if len(elements) else [])
-        return pd.DataFrame({"set_key": keys, "n": sizes, "bands": bands})
+    def of(text: str | None) -> dict:
+        elements, counts = shingles(text)
+        weights = counts if weighted else np.ones_like(counts)
+        return {"set_key": set_key(elements, counts, weighted), "n": int(weights.sum()),
+                "bands": band_values(signature(elements, weights.astype(float))) if len(elements) else []}
+
+    @F.arrow_udf(kind)
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from in_parts(map(of, OneByOne(texts)), to_arrow_type(kind))
 
     return sketch
 
@@ -169,17 +171,18 @@ def elements_udf(weighted: bool):
     """struct(set_key, elements) of a text; of a counted set, the k-th occurrence of a shingle is an element of its own."""
     kind = StructType([StructField("set_key", BinaryType()), StructField("elements", ArrayType(LongType()))])
 
-    @F.pandas_udf(kind)
-    def elements(texts: pd.Series) -> pd.DataFrame:
-        keys, sets = [], []
-        for text in texts:
-            found, counts = shingles(text)
-            keys.append(set_key(found, counts, weighted))
-            if weighted:
-                turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                found = np.sort(mixed(np.repeat(found, counts) + turn.astype(np.uint64)))
-            sets.append(found.view(np.int64))
-        return pd.DataFrame({"set_key": keys, "elements": sets})
+    def of(text: str | None) -> dict:
+        found, counts = shingles(text)
+        key = set_key(found, counts, weighted)
+        if weighted:
+            turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            found = np.sort(mixed(np.repeat(found, counts) + turn.astype(np.uint64)))
+        return {"set_key": key, "elements": found.view(np.int64)}
+
+    @F.arrow_udf(kind)
+    def elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from in_parts(map(of, OneByOne(texts)), to_arrow_type(kind))
 
     return elements
 

@@ -8,14 +8,15 @@ the documents of hosts that are surely bad.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import fresh
+from .common import OneByOne, fresh, in_parts
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
@@ -66,9 +67,11 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
             repeated_words(words))
 
 
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
-def _counts(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
+def _counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([(c, pa.int64()) for c in COUNTS])
+    for texts in batches:
+        yield from in_parts((dict(zip(COUNTS, text_counts(t), strict=True)) for t in OneByOne(texts)), kind)
 
 
 def base_failed(counts: Column) -> Column:

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stocklens.llm import neardup
+from stocklens.llm.common import PART_ROWS
 
 
 def brute_classes(rows, threshold=0.8):
@@ -131,3 +133,11 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 103), (103, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in neardup.components(links).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 103: 100}
+
+
+def test_sets_are_handed_on_in_parts(spark):
+    """A task holds the sets of some rows of an Arrow batch, not those of all."""
+    texts = pa.array([f"a b c d e f{i}" for i in range(3 * PART_ROWS + 1)])
+    for udf in (neardup.elements_udf(False), neardup.sketch_udf(False)):
+        parts = [len(p) for p in udf.func(iter([texts]))]
+        assert parts == [PART_ROWS] * 3 + [1]
