@@ -6,10 +6,13 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, filterfalse
 
+import numpy as np
+import pyarrow as pa
+
 SPACES = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 OTHER_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 3_000_000
 MAX_KEPT_BYTES = 160_000_000
 ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NEWER_LETTERS = "\u0500"
@@ -35,6 +38,31 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+def cut_up(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The pieces of all texts, none empty, and how many of them there are up to the end of each text.
+
+    The cuts of ``pieces`` stand at bytes, so they are found in the UTF-8 of all texts at
+    once; only texts with runs of white space are cut one by one.
+    """
+    parts = [t.encode() for t in texts]
+    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    line = data == ord("\n")
+    starts = line | (data == ord(" "))
+    starts[1:] |= line[:-1]
+    begins = np.append(0, ends[:-1])
+    starts[begins[begins < ends]] = True
+    for i, text in enumerate(texts):
+        if "\0" in text or has_runs(text):
+            sizes = [len(p.encode()) for p in pieces(text)]
+            starts[begins[i]:ends[i]] = False
+            starts[begins[i] + np.cumsum([0, *sizes[:-1]])] = True
+    at = np.flatnonzero(starts)
+    offsets = np.append(at, len(data))
+    cut = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+    return cut, np.searchsorted(at, ends)
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, each distinct piece once.
 
@@ -60,41 +88,54 @@ class PieceEncoder:
         self.known.update(zip(texts, ids, strict=True))
         self.bytes += ENTRY_BYTES * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
 
-    def _unknown(self, texts: Iterable[str]) -> list[str]:
-        """Those of ``texts`` that are not kept; what the older half has is taken over."""
-        new = set(filterfalse(self.known.__contains__, texts))
-        again = list(filter(self.older.__contains__, new))
-        self._keep(again, list(map(self.older.__getitem__, again)))
-        return list(new.difference(again))
+    def _not_older(self, texts: list[str]) -> list[str]:
+        """Those of distinct texts that the older half does not have either; the others are taken over."""
+        found = list(map(self.older.get, texts))
+        again = [(t, ids) for t, ids in zip(texts, found, strict=True) if ids is not None]
+        self._keep([t for t, _ in again], [ids for _, ids in again])
+        return [t for t, ids in zip(texts, found, strict=True) if ids is None] if again else texts
 
-    def _split(self, text: str) -> tuple[str, ...]:
+    def _ended(self, texts: list[str]) -> dict[str, tuple[str, str]]:
+        """What stands before the punctuation and the punctuation, of those pieces that are made of both."""
+        out = {}
         if self.special is None:
-            return (text,)
-        stem = text.rstrip(ENDS)
-        last = stem[-1:]
-        if len(stem) < len(text) and last.isalnum() and last < NEWER_LETTERS and not self.special.search(text):
-            return stem, text[len(stem):]
-        return (text,)
+            return out
+        some_special = self.special.search("\n".join(texts))
+        for text in texts:
+            stem = text.rstrip(ENDS)
+            if (len(stem) < len(text) and (last := stem[-1:]).isalnum() and last < NEWER_LETTERS
+                    and not (some_special and self.special.search(text))):
+                out[text] = stem, text[len(stem):]
+        return out
+
+    def _learn(self, texts: list[str]) -> None:
+        """Make distinct pieces known that are not."""
+        new = self._not_older(texts)
+        ended = self._ended(new)
+        whole = dict.fromkeys(filterfalse(ended.__contains__, new))
+        parts = filterfalse(self.known.__contains__, dict.fromkeys(chain.from_iterable(ended.values())))
+        whole |= dict.fromkeys(self._not_older(list(parts)))
+        self._keep(list(whole), list(self.encode(list(whole))))
+        find = self.known.__getitem__
+        self._keep(list(ended), [find(stem) + find(end) for stem, end in ended.values()])
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         if self.bytes > self.max_bytes / 2:
             self.known, self.older, self.bytes = {}, self.known, 0
-        # Each piece is looked up once, when it is cut; of a text the ids are held, and the pieces without.
-        find, rows, gaps = self.known.get, [], []
-        for text in texts:
-            parts = pieces(text)
-            rows.append(row := list(map(find, parts)))
-            gaps.append([(i, parts[i]) for i, ids in enumerate(row) if ids is None] if None in row else [])
-        new = self._unknown(piece for missing in gaps for _, piece in missing)
-        split = list(map(self._split, new))
-        whole = self._unknown(chain.from_iterable(split))
-        self._keep(whole, list(self.encode(whole)))
-        ended = [parts for parts in split if len(parts) == 2]
-        self._keep(list(map("".join, ended)), [find(stem) + find(end) for stem, end in ended])
-        for row, missing in zip(rows, gaps, strict=True):
-            for i, piece in missing:
-                row[i] = find(piece)
-        return list(map(b"".join, rows))
+        # Pieces become Python texts once a batch; Arrow numbers them and puts their ids in place.
+        cut, until = cut_up(texts)
+        cut = cut.dictionary_encode()
+        distinct = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, distinct))
+        gaps = [i for i, found in enumerate(ids) if found is None]
+        missing = [distinct[i] for i in gaps]
+        self._learn(missing)
+        for i, piece in zip(gaps, missing, strict=True):
+            ids[i] = self.known[piece]
+        placed = pa.array(ids, pa.large_binary()).take(cut.indices)
+        data = placed.buffers()[2]
+        stops = np.frombuffer(placed.buffers()[1], dtype=np.int64)[until].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip([0, *stops], stops, strict=False)]
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; null counts as empty."""

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stocklens.llm import bpe, idfile
+from stocklens.llm import bpe, chunks, idfile
 from stocklens.llm.queries import PATTERN, VOCABULARY
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -60,6 +60,14 @@ def test_pieces_met_again_are_not_encoded_again():
     assert sum(p.strip() == "often" for p in asked) == 2 and len(asked) == 2 + 2 + 80
 
 
+def test_cuts_at_bytes_are_those_of_each_text():
+    for some in ([], [""], texts(), ["a b\nc", "", "\n", " é\nΩ ", "a  b c", "x\0y z", "\u3000\x85 a b", "end "]):
+        cut, until = chunks.cut_up(some)
+        cut, until = cut.to_pylist(), [0, *until.tolist()]
+        assert [cut[a:b] for a, b in zip(until, until[1:], strict=False)] == [
+            [p for p in chunks.pieces(t) if p] for t in some]
+
+
 def test_verify_encodes_each_text_once(spark):
     df = spark.createDataFrame([("a b",)], "text string")
     ids = bpe.encode(F.col("text"), VOCABULARY, PATTERN)
