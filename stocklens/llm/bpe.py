@@ -41,6 +41,42 @@ def byte_of_symbol() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class KeyTable:
+    """Places of distinct keys of at least 0, for many keys at once: an open hash table in two arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.places = np.zeros(1 << bits, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free, first = np.unique(slot, return_index=True)
+            first = first[self.keys[free] < 0]
+            self.keys[slot[first]], self.places[slot[first]] = keys[left[first]], left[first]
+            rest = self.keys[slot] != keys[left]
+            left, slot = left[rest], slot[rest] + 1 & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.places[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & self.mask
+            there, want = self.keys[slot], keys[left]
+            hit = there == want
+            out[left[hit]] = self.places[slot[hit]]
+            go = ~hit & (there >= 0)
+            left, slot = left[go], slot[go]
+        return out
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file."""
 
@@ -63,6 +99,7 @@ class Vocabulary:
         self.id_of = {b: i for i, b in enumerate(self.bytes_of) if b}
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
+        self.arrow_bytes = pa.array(self.bytes_of, pa.large_binary())
         # made[t]: when token t is merged, -1 for single bytes; left, right: from what.
         self.made = np.full(size, -1, dtype=np.int64)
         self.left = np.arange(size)
@@ -75,12 +112,11 @@ class Vocabulary:
             self.made_by[rank] = z
             self.made[z], self.left[z], self.right[z] = rank, x, y
             keys[rank] = x * size + y
-        order = np.argsort(keys, kind="stable")
-        self.size, self.merge_keys, self.merge_ranks = size, keys[order], order
+        self.size, self.ranks = size, KeyTable(keys)
         self._build_trie()
 
     def _build_trie(self) -> None:
-        """Sorted edges (node, byte) -> node of all tokens, and the token that ends at a node."""
+        """Edges (node, byte) -> node of all tokens, and the token that ends at a node."""
         nodes: dict[bytes, int] = {b"": 0}
         edges, ends = {}, {}
         for token, i in self.id_of.items():
@@ -91,9 +127,8 @@ class Vocabulary:
                 at = nxt
             ends[at] = i
         keys = np.fromiter(edges, dtype=np.int64, count=len(edges))
-        order = np.argsort(keys)
-        self.edge_keys = keys[order]
-        self.edge_to = np.fromiter(edges.values(), dtype=np.int64, count=len(edges))[order]
+        self.edges = KeyTable(keys)
+        self.edge_to = np.fromiter(edges.values(), dtype=np.int64, count=len(edges))
         self.token_at = np.full(len(nodes), -1, dtype=np.int64)
         self.token_at[list(ends)] = list(ends.values())
 
@@ -113,9 +148,8 @@ class Vocabulary:
         best, best_end = np.full_like(at, -1), at.copy()
         found = []
         while len(word):
-            key = node * 256 + data[at]
-            place = np.minimum(np.searchsorted(self.edge_keys, key), len(self.edge_keys) - 1)
-            goes = (self.edge_keys[place] == key) & (at < end)
+            place = self.edges.find(node * 256 + data[at])
+            goes = (place >= 0) & (at < end)
             node = np.where(goes, self.edge_to[place], 0)
             at = at + goes
             token = self.token_at[node]
@@ -147,9 +181,8 @@ class Vocabulary:
         a, b = a.astype(np.int64), b.astype(np.int64)
         limit = np.full(len(a), np.iinfo(np.int64).max)
         while len(at):
-            key = a * self.size + b
-            place = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
-            fails = (self.merge_keys[place] == key) & (self.merge_ranks[place] < limit)
+            rank = self.ranks.find(a * self.size + b)
+            fails = (rank >= 0) & (rank < limit)
             fine[at[fails]] = False
             made_a, made_b = self.made[a], self.made[b]
             undo_a = made_a > made_b
@@ -165,15 +198,19 @@ class Vocabulary:
         In each round every word merges its earliest-ranked pair wherever it stands, from
         the left, until no word has a pair to merge.
         """
-        never = len(self.merge_keys)
+        never = len(self.made_by)
         word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
         token = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Rank of the merge of the tokens at ``at`` and behind it."""
+            after = np.minimum(at + 1, len(token) - 1)
+            found = self.ranks.find(token[at] * self.size + token[after])
+            return np.where((found >= 0) & (after > at) & (word[after] == word[at]), found, never)
+
+        rank = ranks(np.arange(len(token)))
         done = []
         while len(token):
-            key = token[:-1] * self.size + token[1:]
-            place = np.minimum(np.searchsorted(self.merge_keys, key), never - 1)
-            pairs = (self.merge_keys[place] == key) & (word[1:] == word[:-1])
-            rank = np.append(np.where(pairs, self.merge_ranks[place], never), never)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(word))))
             going = lowest < never
@@ -184,7 +221,10 @@ class Vocabulary:
             hit &= run % 2 == 1
             token = np.where(hit, self.made_by[np.where(hit, rank, 0)], token)
             keep = going & ~np.append(False, hit[:-1])
-            token, word = token[keep], word[keep]
+            token, word, rank, hit = token[keep], word[keep], rank[keep], hit[keep]
+            # Only pairs with a new token have another rank.
+            fresh = np.flatnonzero(hit | np.append(hit[1:], False))
+            rank[fresh] = ranks(fresh)
         if not done:
             return token, word
         token, word = (np.concatenate(v) for v in zip(*done, strict=True))
@@ -214,9 +254,14 @@ class Vocabulary:
         Texts without white space but for a space in front are cut into words in one go: a
         line feed put between two of them is a word of its own.
         """
-        plain = [t for t in texts if PLAIN.fullmatch(t) and (t.isascii() or max(t) < NEWER_LETTERS)
-                 and not self.special_pattern.search(t)]
+        together = "\n".join(texts)
+        newer = not together.isascii() and max(together) >= NEWER_LETTERS
+        special = self.special_pattern.search(together)
+        plain = [t for t in texts if PLAIN.fullmatch(t) and not (newer and max(t) >= NEWER_LETTERS)
+                 and not (special and self.special_pattern.search(t))]
         out = dict(zip(plain, self._encode_plain(plain), strict=True))
+        if len(out) == len(texts):
+            return list(out.values())
         split = {t: self._pretokens(t) for t in texts if t not in out}
         words = list({w for parts in split.values() for w in parts if isinstance(w, bytes)})
         token, ends = self.encode_words(words)
@@ -261,8 +306,11 @@ class Vocabulary:
         return [text[a:b].encode() for _, (a, b) in self.library.pre_tokenize_str(text)]
 
     def decode(self, ids: bytes) -> str:
-        tokens = np.frombuffer(ids, dtype="<u4").tolist()
-        return b"".join(map(self.bytes_of.__getitem__, tokens)).decode("utf-8", "replace")
+        found = self.arrow_bytes.take(pa.array(np.frombuffer(ids, dtype="<u4")))
+        if not len(found):
+            return ""
+        end = np.frombuffer(found.buffers()[1], dtype=np.int64)[len(found)]
+        return found.buffers()[2][:end].to_pybytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)

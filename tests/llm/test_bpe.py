@@ -68,6 +68,23 @@ def test_cuts_at_bytes_are_those_of_each_text():
             [p for p in chunks.pieces(t) if p] for t in some]
 
 
+def test_key_table_finds_all_keys_and_no_others():
+    keys = np.unique(np.random.default_rng(5).integers(0, 10**9, 5000))
+    table = bpe.KeyTable(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    others = np.setdiff1d(np.arange(10**6), keys)
+    assert (table.find(others) == -1).all() and table.find(keys[:0]).size == 0
+
+
+def test_merging_looks_only_new_pairs_up(monkeypatch):
+    """Each round asks for the pairs of the tokens just made, not for all that are left."""
+    v, asked, find = bpe.vocabulary(VOCABULARY, PATTERN), [], bpe.KeyTable.find
+    monkeypatch.setattr(bpe.KeyTable, "find", lambda self, keys: asked.append(len(keys)) or find(self, keys))
+    word = "incomprehensibilities" * 20
+    token, _ = v.merged([word.encode()])
+    assert token.tolist() == library(word) and sum(asked) < 5 * len(word)
+
+
 def test_verify_encodes_each_text_once(spark):
     df = spark.createDataFrame([("a b",)], "text string")
     ids = bpe.encode(F.col("text"), VOCABULARY, PATTERN)
