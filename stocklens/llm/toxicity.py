@@ -245,7 +245,7 @@ class Tables:
     """Columns of numbers over subsequences, kept only for those that some row has."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray):
-        self.values = np.hstack([np.zeros((len(values), 1), np.float32), values.astype(np.float32)])
+        self.values = np.hstack([np.zeros((len(values), 1), np.float32), values.astype(np.float32, copy=False)])
         self.index = np.zeros(CLASSES ** 4, dtype=np.int32)
         self.index[codes] = np.arange(1, len(codes) + 1)
 
@@ -346,9 +346,11 @@ class Model:
         return out
 
 
-def fit_machine(features: np.ndarray, label: np.ndarray, importance: np.ndarray, cost: float = 2e4) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps; either class has half of the cost."""
-    x = np.hstack([features, np.ones((len(features), 1))])
+def fit_machine(x: np.ndarray, label: np.ndarray, importance: np.ndarray, cost: float = 2e4) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss by Newton steps; either class has half of the cost.
+
+    The last column of ``x`` is 1, for the bias.
+    """
     of_class = np.where(label > 0, importance[label > 0].sum(), importance[label < 0].sum())
     share = importance / of_class * cost / 2
     w = np.zeros(x.shape[1])
@@ -357,8 +359,9 @@ def fit_machine(features: np.ndarray, label: np.ndarray, importance: np.ndarray,
     for _ in range(50):
         margin = 1 - label * (x @ w)
         on = margin > 0
-        gradient = ridge @ w - 2 * x[on].T @ (share[on] * label[on] * margin[on])
-        hessian = ridge + 2 * x[on].T @ (x[on] * share[on, None])
+        part = x[on]
+        gradient = ridge @ w - 2 * (part.T @ (share[on] * label[on] * margin[on]))
+        hessian = ridge + 2 * (part.T @ (part * share[on, None]))
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -385,8 +388,11 @@ def fit_words(toxic: dict[str, float], clean: dict[str, float], landmarks: int =
     importance = np.array([pos[r] if y > 0 else clean[r] for r, y in zip(rows, label, strict=True)])
     values, vectors = np.linalg.eigh(tables.sums(marks).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    features = np.vstack([tables.sums(rows[i:i + 512]) for i in range(0, len(rows), 512)]).astype(np.float64)
-    w, bias = fit_machine(features @ root, label, importance)
+    # One array for all rows: this runs in the driver's Python.
+    x = np.ones((len(rows), len(marks) + 1))
+    for i in range(0, len(rows), 512):
+        x[i:i + 512, :-1] = tables.sums(rows[i:i + 512]).astype(np.float64) @ root
+    w, bias = fit_machine(x, label, importance)
     return Model(codes, ((root @ w) @ tables.values[:, 1:]).astype(np.float32), bias)
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -142,3 +143,22 @@ def test_the_sample_has_one_row_for_each_id_and_text(spark, monkeypatch):
     assert not [r for r in df.filter("doc_id = 0").select(toxicity.held_out(F.col("doc_id")).alias("o")).distinct().collect() if r["o"]]
     used = df.filter(~toxicity.held_out(F.col("doc_id"))).distinct().count()
     assert sizes == [(used, used), (20, 20)]
+
+
+def test_fitting_holds_few_copies_of_the_features():
+    """The fit runs in the driver: the features once, two copies of rows within the margin, and the tables."""
+    rng = random.Random(6)
+
+    def rows(n, size):
+        words = ("".join(rng.choice("etaoinshrdlu") for _ in range(size)) for _ in range(n))
+        return {r: 1.0 for w in words for r in toxicity.class_rows(w)}
+
+    toxic, clean = rows(300, 8), rows(300, 6)
+    n = 300 + sum(len(toxicity.with_insertions(r)) for r in toxic)
+    tracemalloc.start()
+    try:
+        toxicity.fit_words(toxic, clean, landmarks=150)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 7 * 8 * n * 151
