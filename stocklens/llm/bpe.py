@@ -22,7 +22,7 @@ from pyspark.sql.types import BinaryType, StringType
 from tokenizers import Tokenizer
 
 from .chunks import NEWER_LETTERS, PieceEncoder
-from .common import OneByOne, in_parts
+from .common import OneByOne, in_parts, one_at_a_time
 
 
 KEPT_BYTES = 48_000_000    # of kept pieces in a worker, beside the tables of the vocabulary
@@ -333,7 +333,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """
     @F.arrow_udf(BinaryType())
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in one_at_a_time(batches):
             yield from in_parts(_encoder(path, pattern)(OneByOne(texts)), pa.binary())
 
     return ids(text)
@@ -347,7 +347,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(StringType())
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = vocabulary(path, pattern).decode
-        for column in batches:
+        for column in one_at_a_time(batches):
             yield from in_parts((of(i or b"") for i in OneByOne(column)), pa.string())
 
     return texts(ids)

@@ -9,6 +9,8 @@ from itertools import chain, filterfalse
 import numpy as np
 import pyarrow as pa
 
+from .common import give_back
+
 SPACES = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 OTHER_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -146,5 +148,6 @@ class PieceEncoder:
             if size >= BATCH_CHARS:
                 yield from self._batch(batch)
                 batch, size = [], 0
+                give_back()
         if batch:
             yield from self._batch(batch)

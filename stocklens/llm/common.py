@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import islice
 
 import pyarrow as pa
@@ -57,6 +59,29 @@ class OneByOne:
         return (t.as_py() for t in self.texts)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    """glibc's ``malloc_trim``; nothing where the C library has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: the allocators of Arrow and C else keep it for a worker's life."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def one_at_a_time(batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """The Arrow arrays of a task; what was needed for one is handed back to the system before the next is read."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def in_parts(values: Iterable, kind: pa.DataType) -> Iterator[pa.Array]:
     """``values`` as Arrow arrays of a few rows each, so that never all of a batch's results are held."""
     values = iter(values)

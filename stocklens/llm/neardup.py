@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import OneByOne, fresh, in_parts, stored
+from .common import OneByOne, fresh, in_parts, one_at_a_time, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -161,7 +161,7 @@ def sketch_udf(weighted: bool):
 
     @F.arrow_udf(kind)
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in one_at_a_time(batches):
             yield from in_parts(map(of, OneByOne(texts)), to_arrow_type(kind))
 
     return sketch
@@ -181,7 +181,7 @@ def elements_udf(weighted: bool):
 
     @F.arrow_udf(kind)
     def elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in one_at_a_time(batches):
             yield from in_parts(map(of, OneByOne(texts)), to_arrow_type(kind))
 
     return elements

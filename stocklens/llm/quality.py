@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import OneByOne, fresh, in_parts
+from .common import OneByOne, fresh, in_parts, one_at_a_time
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
@@ -70,7 +70,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
 @F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
 def _counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct([(c, pa.int64()) for c in COUNTS])
-    for texts in batches:
+    for texts in one_at_a_time(batches):
         yield from in_parts((dict(zip(COUNTS, text_counts(t), strict=True)) for t in OneByOne(texts)), kind)
 
 

@@ -16,18 +16,18 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import OneByOne, fresh, stored
+from .common import PART_ROWS, OneByOne, fresh, in_parts, one_at_a_time, stored
 
 THRESHOLD = 0.7
 DECAY = 0.7
@@ -37,7 +37,8 @@ SHORTEST = 0.1          # added to the squared length of a row, so that rows of
 CLASSES = 32            # 0 none, 1-26 letters, 27 between words, 28 between texts, 29-31 other alphabets
 BETWEEN, APART, DROPPED = 27, 28, 255
 WORDS = 3               # words of a window, at most
-CHUNK = 150_000         # characters worked on at once, in about 250 bytes each; longer texts are cut between words
+CHUNK = 150_000         # characters of a text at most; longer ones are cut between words
+TOGETHER = 40_000       # characters of several texts worked on at once, in about 130 bytes each
 NO_WORDS = -1.5         # decision for a text without words
 MAX_TRAINING_DOCS = 20_000
 MAX_UNITS, MAX_OTHER_UNITS, LANDMARKS = 600, 3_000, 400
@@ -289,11 +290,11 @@ def with_insertions(row: str) -> list[str]:
 
 
 def batches(texts):
-    """(indexes, parts of texts) of about CHUNK characters each."""
+    """(indexes, parts of texts) of about TOGETHER characters each, a longer part alone."""
     owners, some, size = [], [], 0
     for i, t in enumerate(texts):
         for part in parts(t):
-            if some and size + len(part) > CHUNK:
+            if some and size + len(part) > TOGETHER:
                 yield owners, some
                 owners, some, size = [], [], 0
             owners.append(i)
@@ -424,15 +425,34 @@ def fit_scale(worst: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def packed(places: np.ndarray) -> bytes:
+    """A filter of BITS bits with those at ``places`` set."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[places] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def in_filter(bits: bytes, row: str) -> int:
+    place = zlib.crc32(row.encode()) % BITS
+    return bits[place >> 3] >> (place & 7) & 1
+
+
 def windows_of(text: Column, bits=None) -> Column:
     """The distinct windows of a text as class rows; with ``bits`` those that the broadcast filter has."""
-    @F.pandas_udf(ArrayType(StringType()))
-    def found(texts: pd.Series) -> pd.Series:
-        out = [set() for _ in texts]
-        for owners, some in batches(texts):
-            for o, rows in zip(owners, Windows(some).rows(), strict=False):
-                out[o] |= rows if bits is None else {r for r in rows if bits.value[zlib.crc32(r.encode()) % BITS]}
-        return pd.Series([list(r) for r in out], dtype=object)
+    def rows_of(texts: pa.Array) -> Iterator[list[str]]:
+        # Windows take some hundred times the memory of their text, so those of a few texts are held.
+        for at in range(0, len(texts), PART_ROWS):
+            some_texts = OneByOne(texts.slice(at, PART_ROWS))
+            out = [set() for _ in range(len(some_texts))]
+            for owners, some in batches(some_texts):
+                for o, rows in zip(owners, Windows(some).rows(), strict=False):
+                    out[o] |= rows if bits is None else {r for r in rows if in_filter(bits.value, r)}
+            yield from map(list, out)
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in one_at_a_time(columns):
+            yield from in_parts(rows_of(texts), pa.list_(pa.string()))
 
     return found(text)
 
@@ -440,9 +460,10 @@ def windows_of(text: Column, bits=None) -> Column:
 def worst_window(text: Column, model) -> Column:
     """Struct (worst, row): the largest decision of a text's windows and that window; ``model`` is a broadcast Model."""
     @F.arrow_udf("struct<worst: double, row: string>")
-    def worst(texts: pa.Array) -> pa.Array:
-        value, row = model.value.worst(OneByOne(texts))
-        return pa.StructArray.from_arrays([pa.array(value, pa.float64()), pa.array(row, pa.string())], ["worst", "row"])
+    def worst(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in one_at_a_time(columns):
+            value, row = model.value.worst(OneByOne(texts))
+            yield pa.StructArray.from_arrays([pa.array(value, pa.float64()), pa.array(row, pa.string())], ["worst", "row"])
 
     return worst(text)
 
@@ -473,10 +494,8 @@ def toxic_windows(sentences: DataFrame, n_toxic: int, n_clean: int) -> dict[str,
     needed = F.coalesce(*[F.when(words == k, F.lit(v)) for k, v in least.items()])
     bad = stored(all_windows.filter("bad").groupBy("unit").agg(F.count_distinct("doc_id").alias("bad"))
                             .filter(F.col("bad") >= needed), "toxicity-windows")
-    bits = np.zeros(BITS, dtype=bool)
     hashed = bad.select((F.crc32(F.col("unit").cast("binary")) % BITS).alias("h")).distinct().toPandas()["h"]
-    bits[hashed.to_numpy(dtype=np.int64)] = True
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(packed(hashed.to_numpy(dtype=np.int64)))
     fine = (sentences.filter(~F.col("bad")).select("doc_id", F.explode(windows_of(F.col("sentence"), shared)).alias("unit"))
                      .groupBy("unit").agg(F.count_distinct("doc_id").alias("fine")))
     both, b, f = F.col("bad") + F.col("fine"), F.col("bad"), F.col("fine")
